@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup
+from . import decontaminate, neardup, repetition
 from .common import table
 
 QUERIES = {}
@@ -52,3 +52,32 @@ from d left join words using (doc_id) left join owned using (doc_id)
 @query
 def op4_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op2_suffix_array_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = repetition.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_W = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+SQL["op2_suffix_array_repetition"] = rf"""
+with d as (select doc_id, coalesce(text, '') t, {_W} w from documents),
+repeats as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, s) c from
+  (select doc_id, i, array_to_string(w[i:i + 7], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8))) where c > 1),
+words as (select doc_id, count(distinct i + k) n from (select doc_id, i, unnest(range(0, 8)) k from repeats) group by doc_id),
+lines as (select doc_id, sum(c - 1)::bigint n from (select doc_id, l, count(*) c from (select doc_id, unnest(string_split(t, chr(10))) l from d)
+  where regexp_matches(l, '[^\x20\x09-\x0D]') group by doc_id, l) group by doc_id),
+-- the longest repeat: of each pair of equal 8-word windows, runs on one diagonal
+pairs as (select a.doc_id, a.i, b.i - a.i as gap from (select doc_id, i, array_to_string(w[i:i + 7], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8)) a
+  join (select doc_id, i, array_to_string(w[i:i + 7], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 6)) i from d where len(w) >= 8)) b on a.doc_id = b.doc_id and a.s = b.s and a.i < b.i),
+runs as (select doc_id, max(n) + 7 n from (select doc_id, gap, g, count(*) n from (select doc_id, gap, i - row_number() over (partition by doc_id, gap order by i) g from pairs) group by doc_id, gap, g) group by doc_id),
+o as (select d.doc_id, len(w)::bigint n_words, len(array_to_string(w, ''))::bigint word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::bigint n_symbols,
+  coalesce(lines.n, 0) n_dup_lines, coalesce(words.n, 0) n_repeat_words, runs.n long_repeat
+  from d left join words using (doc_id) left join lines on d.doc_id = lines.doc_id left join runs on d.doc_id = runs.doc_id)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(long_repeat, 0) <= 100 as kept
+from o
+"""
