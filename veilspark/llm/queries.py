@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, neardup, repetition
+from . import decontaminate, lattice, neardup, repetition
 from .common import table
 
 QUERIES = {}
@@ -81,3 +81,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and coalesce(long_repeat, 0) <= 100 as kept
 from o
 """
+
+
+#: Where the box keeps its public vocabularies; a parameter of the operator.
+VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.score(table(spark, sf_dir, "documents"), lattice.load_vocabulary(VOCABULARY))
