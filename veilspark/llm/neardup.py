@@ -93,18 +93,8 @@ def composite_keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fingerprint_words(w: Words, shingle: int) -> np.ndarray:
     """uint64 fingerprint of each row of ``w``."""
-    # the words with one blank after each, as one buffer
-    keep = np.zeros(len(w.data) + 1, np.int64)
-    np.add.at(keep, w.starts, 1)
-    np.subtract.at(keep, w.ends, 1)
-    inside = np.cumsum(keep)[:-1].astype(bool)
+    joined, first = w.joined()
     size = w.ends - w.starts
-    first = np.zeros(len(size), np.int64)
-    np.cumsum(size[:-1] + 1, out=first[1:])
-    joined = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
-    body = np.ones(len(joined), bool)
-    body[first + size] = False
-    joined[body] = w.data[inside]
     blob = joined.tobytes()
     counts = np.diff(w.bounds)
     shingles = np.where(counts > 0, np.maximum(counts - shingle + 1, 1), 0)

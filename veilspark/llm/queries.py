@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, neardup, repetition
+from . import decontaminate, lattice, neardup, passages, repetition
 from .common import table
 
 QUERIES = {}
@@ -90,3 +90,20 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 @query
 def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.score(table(spark, sf_dir, "documents"), lattice.load_vocabulary(VOCABULARY))
+
+
+@query
+def op3_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = passages.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+SQL["op3_repeated_passages"] = rf"""
+with d as (select doc_id, {_W} w from documents),
+win as (select doc_id, i, array_to_string(w[i:i + 19], ' ') s from (select doc_id, w, unnest(range(1, len(w) - 18)) i from d where len(w) >= 20)),
+later as (select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) r from win) where r > 1),
+gone as (select distinct doc_id, i + k p from (select doc_id, i, unnest(range(0, 20)) k from later)),
+left_over as (select doc_id, string_agg(x, ' ' order by p) t, count(*) n from
+  (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d) anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join left_over using (doc_id)
+"""

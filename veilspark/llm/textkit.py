@@ -113,6 +113,20 @@ class Words:
             np.cumsum(_BYTE[self.data] * _power(_BASE, n), out=total[1:])
             return mix((total[self.ends] - total[self.starts]) * _power(_INVERSE, n + 1)[self.starts])
 
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes of the words with one blank after each, where each word begins in them)."""
+        size = self.ends - self.starts
+        first = np.zeros(len(size), np.int64)
+        np.cumsum(size[:-1] + 1, out=first[1:])
+        edge = np.zeros(len(self.data) + 1, np.int8)
+        np.add.at(edge, self.starts, 1)
+        np.subtract.at(edge, self.ends, 1)
+        out = np.full(int(size.sum()) + len(size), 0x20, np.uint8)
+        body = np.ones(len(out), bool)
+        body[first + size] = False
+        out[body] = self.data[np.cumsum(edge)[:-1].astype(bool)]
+        return out, first
+
     def text(self, which: np.ndarray) -> pa.Array:
         """The chosen words as an Arrow column."""
         return spans(self.data, self.starts[which], self.ends[which])
