@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the context's own.
 
@@ -28,11 +31,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back.
 
     The written table cuts the lineage and survives lost executors, and a plan
-    that reads it twice computes it once.
+    that reads it twice computes it once. The shuffle files behind it are of no
+    more use then, and Spark is told to remove them.
     """
-    path = f"{shared_dir(df.sparkSession)}/veilspark/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,7 +6,7 @@ segments whose anchor occurs twice or more in the corpus go on. Nothing is misse
 a repeated window has a repeated anchor.
 
 Confirmation. Segments are routed by anchor, with their words; equal ones are
-combined before the shuffle to their first occurrence (smallest doc_id, then
+combined, in part before the shuffle, to their first occurrence (smallest doc_id, then
 start), and the other copies are repeats in full. An anchor with more than ``HOT``
 occurrences would gather in one task: its windows are routed one by one by their
 own hash, and equal ones are combined, so no key holds many rows.
@@ -94,6 +94,17 @@ def _flat(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[n
     return np.repeat(np.arange(len(column)), size), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
+def _combined(key: np.ndarray, words: pa.Array, ids: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+    """One row for equal keys and words: the first by (id, lo)."""
+    coded = words.dictionary_encode().indices.to_numpy()
+    order = np.lexsort((lo, ids, coded, key))
+    coded = coded[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (coded[1:] != coded[:-1]) | (key[order][1:] != key[order][:-1])
+    pick = order[new]
+    return pa.RecordBatch.from_arrays([pa.array(key[pick]), words.take(pa.array(pick)), pa.array(ids[pick]), pa.array(lo[pick])], names=["key", "words", "id", "lo"])
+
+
 def _routed(window: int):
     """Segments, or windows of hot anchors, with their words."""
 
@@ -103,6 +114,7 @@ def _routed(window: int):
             owner, (first, n, anchor, hot) = _flat(batch.column(2), ("lo", "n", "anchor", "hot"))
             hot = hot.astype(bool)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
+            got = []
             for lo, hi, raw, at in pieces(batch.column(1)):
                 own = slice(edges[lo], edges[hi])
                 w = Words(raw, at)
@@ -119,9 +131,10 @@ def _routed(window: int):
                 b = np.concatenate([begin[cold] + n[own][cold], each + 1]) + window - 2
                 key = np.concatenate([anchor[own][cold], by_window[each]])
                 row = np.concatenate([owner[own][cold], np.repeat(owner[own][warm], n[own][warm])])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), spans(joined, at_word[a], at_word[b] + size[b]), pa.array(ids[row]), pa.array((a - w.bounds[row - lo]).astype(np.int32))], names=["key", "words", "id", "lo"]
-                )
+                got.append((key, spans(joined, at_word[a], at_word[b] + size[b]), ids[row], (a - w.bounds[row - lo]).astype(np.int32)))
+            if got:
+                key, words, own_ids, first = zip(*got, strict=True)
+                yield _combined(np.concatenate(key), pa.chunked_array(words, pa.string()).combine_chunks(), np.concatenate(own_ids), np.concatenate(first))
 
     return run
 
@@ -257,11 +270,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     found = materialise(found, "segments")
     routed = lean.join(found, "id").select("id", "text", "segments").mapInArrow(_routed(window), "key long, words string, id long, lo int")
     code = F.col("id").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(10,0)") + F.col("lo").cast("decimal(10,0)")
-    unique = routed.groupBy("key", "words").agg(F.min(code.cast("decimal(38,0)")).alias("code"))
+    # one shuffle, by key alone: the windows of an anchor meet in a task, and equal rows are combined there
+    code = code.cast("decimal(38,0)")
+    unique = routed.repartition("key").groupBy("key", "words").agg(F.min(code).alias("code"))
     lo = F.pmod(F.col("code"), F.lit(_SHIFT).cast("decimal(10,0)"))
     unique = unique.select("key", "words", ((F.col("code") - lo) / F.lit(_SHIFT)).cast("long").alias("id"), lo.cast("int").alias("lo"))
-    # by key alone, so that an anchor's segments meet; the sort is within a task
-    kept = unique.repartition("key").sortWithinPartitions("key").select("key", "words", "id", "lo").mapInArrow(_located(window, shard), "id long, lo int, first long")
+    kept = unique.sortWithinPartitions("key").select("key", "words", "id", "lo").mapInArrow(_located(window, shard), "id long, lo int, first long")
     decided = kept.groupBy("id").agg(F.collect_list(F.struct("lo", "first")).alias("kept"))
     plan = found.select("id", F.transform("segments", lambda s: F.struct(s.lo.alias("lo"), s.n.alias("n"))).alias("segments")).join(decided, "id", "left")
     cut = lean.join(materialise(plan, "decisions"), "id", "left").select("id", "text", "segments", "kept").mapInArrow(_cut(window), "id long, text string, n_words long, n_removed long")
