@@ -57,9 +57,10 @@ def components(edges: DataFrame, label: str = "links", limit: int = 100) -> Data
 
     The component is its smallest node. Alternates two contractions: every node
     hands its larger neighbours to its smallest neighbour, then its smaller ones.
-    Both are a min aggregate (combined before the shuffle) joined back on the node,
-    a join whose hot keys the adaptive planner may split. Rounds grow with the
-    logarithm of the longest chain; each round is written to the shared folder.
+    Both are a min aggregate (combined before the shuffle) joined back on the node.
+    The aggregates are written first: both sides of the joins are then plain
+    exchanges, whose hot keys the adaptive planner can split. Rounds grow with the
+    logarithm of the longest chain.
     Nodes without a link are absent. An empty input gives an empty result.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -71,9 +72,9 @@ def components(edges: DataFrame, label: str = "links", limit: int = 100) -> Data
             break
         seen = (state.n, state.h)
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
+        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
+        lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), label)
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
         links = materialise(small.where("u <> v").distinct(), label)
     else:

@@ -136,7 +136,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(unique: DataFrame, bucket: int = 64) -> DataFrame:
     """``unique``: rows fp, node, one a fingerprint. Links ``a, b`` of nodes whose components are those of all links."""
     keys = materialise(unique.select("fp", "node").mapInArrow(_keys, "key long, fp long, node long"), "golay-keys")
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
     members = materialise(keys.join(shared, "key"), "golay-buckets")
     few = members.where(F.col("n") <= bucket)
     one, two = few.select("key", F.col("fp").alias("fp1"), F.col("node").alias("a")), few.select("key", F.col("fp").alias("fp2"), F.col("node").alias("b"))

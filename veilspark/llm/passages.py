@@ -265,7 +265,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     """Rows ``doc_id, text`` (the kept words joined by one blank)``, n_words, n_removed``, one a row of ``docs``."""
     lean = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text).alias("text"))
     anchors = materialise(lean.mapInArrow(_anchors(window, gram), "anchor long, id long, lo int, n int"), "anchors")
-    twice = anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1")
+    # written first, so that the join below has plain exchanges and a hot anchor can be split
+    twice = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "repeated-anchors")
     found = anchors.join(twice, "anchor").groupBy("id").agg(F.collect_set(F.struct("lo", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segments"))
     found = materialise(found, "segments")
     routed = lean.join(found, "id").select("id", "text", "segments").mapInArrow(_routed(window), "key long, words string, id long, lo int")

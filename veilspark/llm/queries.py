@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, neardup, passages, repetition
+from . import decontaminate, lattice, neardup, passages, repetition, replytrees
 from .common import table
 
 QUERIES = {}
@@ -107,3 +107,35 @@ left_over as (select doc_id, string_agg(x, ' ' order by p) t, count(*) n from
   (select doc_id, unnest(w) x, unnest(range(1, len(w) + 1)) p from d) anti join gone using (doc_id, p) group by doc_id)
 select d.doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(t, '')) kept_sha256 from d left join left_over using (doc_id)
 """
+
+
+_CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
+    nodes = replytrees.linear(rows.unionByName(own), "conv_id", ["turn", "role", "text"])
+    made = replytrees.conversations(nodes)
+    read = made.withColumn("turns", replytrees.parsed(F.col("formatted"))).withColumn("loss", replytrees.loss_text(F.col("formatted"), F.col("loss_spans")))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), ""), 256).alias("turns_sha256"),
+        F.char_length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+SQL["op7_reply_trees"] = rf"""
+with c as (select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -1, 0, 'user', '{_CONTROL}' union all select -1, 1, 'assistant', '{_CONTROL}'),
+e as (select *, replace(replace(r, '\', '\\'), '<|', '<\|') er, replace(replace(t, '\', '\\'), '<|', '<\|') et from c)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+  coalesce(sum(len(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn, t) filter (r = 'assistant'), '')) loss_sha256,
+  (sum(len(er) + len(et) + {len("<|im_start|><|im_sep|><|im_end|>") + 1}) - 1)::bigint formatted_chars
+from e group by conv_id
+"""
