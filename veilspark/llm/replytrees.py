@@ -47,20 +47,26 @@ def best_paths(nodes: DataFrame, top: int = 1) -> DataFrame:
     found = materialise(found, "tree-nodes")
     here = found.select("tree", F.col("node").alias("anc"))
     linked = found.withColumnRenamed("parent", "anc").join(here.withColumn("there", F.lit(True)), ["tree", "anc"], "left")
-    jump = linked.select("tree", "node", F.when(F.col("there"), F.col("anc")).alias("anc"), "score")
-    jumps = [materialise(jump, "tree-jumps")]
+    first = materialise(linked.select("tree", "node", F.when(F.col("there"), F.col("anc")).alias("anc"), "score"), "tree-jumps")
+    # score: of the nodes from this one up to the jump's end, which is not included
+    jumps = [first.where("anc is not null")]
+    reached = first.where("anc is null").select("tree", "node", "score")
     largest = found.groupBy("tree").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    while (1 << (len(jumps) - 1)) < largest:
+    while (1 << (len(jumps) - 1)) < largest and not jumps[-1].isEmpty():
         near = jumps[-1]
         far = near.select("tree", F.col("node").alias("anc"), F.col("anc").alias("anc2"), F.col("score").alias("score2"))
-        further = near.join(far, ["tree", "anc"], "left").select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score"))
-        jumps.append(materialise(further, "tree-jumps"))
-    parents = jumps[0].where("anc is not null").select("tree", F.col("anc").alias("node")).distinct()
-    leaves = jumps[-1].where("anc is null").join(parents, ["tree", "node"], "left_anti")
+        further = materialise(near.join(far, ["tree", "anc"], "left"), "tree-jumps")
+        # where there is no further jump, this one ended at a node whose path is summed already
+        top_score = reached.select("tree", F.col("node").alias("anc"), F.col("score").alias("rest"))
+        ended = further.where("anc2 is null").join(top_score, ["tree", "anc"]).select("tree", "node", (F.col("score") + F.col("rest")).alias("score"))
+        reached = reached.unionByName(materialise(ended, "tree-scores"))
+        jumps.append(further.where("anc2 is not null").select("tree", "node", F.col("anc2").alias("anc"), (F.col("score") + F.col("score2")).alias("score")))
+    parents = jumps[0].select("tree", F.col("anc").alias("node")).distinct()
+    leaves = reached.join(parents, ["tree", "node"], "left_anti")
     ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("score"), "node")))
     path = materialise(ranked.where(F.col("rank") <= top).select("tree", F.col("node").alias("leaf"), "rank", "node", F.lit(0).cast("long").alias("back")), "tree-paths")
     for k in reversed(range(len(jumps))):
-        step = jumps[k].where("anc is not null").select("tree", "node", "anc")
+        step = jumps[k].select("tree", "node", "anc")
         up = path.join(step, ["tree", "node"]).select("tree", "leaf", "rank", F.col("anc").alias("node"), (F.col("back") + (1 << k)).alias("back"))
         path = materialise(path.unionByName(up), "tree-paths")
     return path
