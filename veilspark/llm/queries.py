@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, neardup, passages, repetition, replytrees
+from . import decontaminate, lattice, linedup, mixing, neardup, passages, repetition, replytrees
 from .common import table
 
 QUERIES = {}
@@ -139,3 +139,17 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
   (sum(len(er) + len(et) + {len("<|im_start|><|im_sep|><|im_end|>") + 1}) - 1)::bigint formatted_chars
 from e group by conv_id
 """
+
+
+@query
+def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
+    done = linedup.drop_repeated_lines(docs.withColumn("n_lines", lines))
+    return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", "epoch", "block", "position", "weight")
