@@ -275,5 +275,5 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", window: int = 1
     # what is left: the bytes between the cut spans
     edges = F.concat(F.array(F.lit(0)), F.transform(cut, lambda s: s.hi_byte))
     stops = F.concat(F.transform(cut, lambda s: s.lo_byte), F.array(F.octet_length(F.col(text))))
-    left = F.array_join(F.zip_with(edges, stops, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), F.lit("UTF-8"))), "")
+    left = F.array_join(F.zip_with(edges, stops, lambda a, b: F.decode(F.substring(raw, a + 1, b - a), "UTF-8")), "")
     return kept.withColumn(text, F.when(F.size(cut) > 0, left).otherwise(F.col(text))).select(*docs.columns)

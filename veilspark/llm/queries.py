@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lattice, linedup, mixing, neardup, passages, repetition, replytrees
+from . import decontaminate, lattice, linedup, mixing, neardup, passages, quality, repetition, replytrees, toxicity
 from .common import table
 
 QUERIES = {}
@@ -153,3 +153,16 @@ def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs).select("doc_id", "source", "epoch", "block", "position", "weight")
+
+
+@query
+def op8_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the table labels one kind of toxicity; low quality goes before it in the chain
+    labels = table(spark, sf_dir, "labels").select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
+    scored = toxicity.score(table(spark, sf_dir, "documents"), labels, ["low_quality", "toxic"])
+    return scored.select("doc_id", "held_out", "p_low_quality", F.col("p_toxic").alias("score"), (F.col("p_toxic") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op10_boosted_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
