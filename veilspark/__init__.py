@@ -1,0 +1 @@
+"""Find, mask, restore and compare sensitive data with Spark."""
