@@ -124,3 +124,22 @@ def classify_key(key: Column | str, is_param: bool = False, extra: tuple[str, ..
     part = n.rlike("|".join(tables.SECRET_KEY_PARTS)) & ~n.rlike(f"({'|'.join(tables.METADATA_SUFFIXES)})$")
     named = n.isin([*tables.SECRET_KEYS, *extra, *(tables.SECRET_PARAMS if is_param else [])])
     return F.when(n == "", None).when(named | part, "secret").when(is_id_key(k), "id").when(n.isin(tables.PII_KEYS), "pii")
+
+
+def mask_host(host: Column | str, keep: float, allowed: tuple[str, ...] = tuple(tables.ALLOWED_DOMAINS)) -> Column:
+    """Of a host that isn't allowed, the label before the public suffix; without a policy's terms."""
+    h = _c(host)
+    low = F.lower(h)
+    free = F.lit(False)
+    for d in allowed:
+        free = free | (low == d) | low.endswith("." + d)
+    labels = F.split(h, r"\.")
+    n = F.size(labels)
+    two = F.array_join(F.slice(F.split(low, r"\."), F.greatest(n - 1, F.lit(1)), F.lit(2)), ".")
+    suffix = F.when(n == 1, 0).when(two.isin(tables.SECOND_LEVEL), F.least(F.lit(2), n - 1)).otherwise(1)
+    return F.when(free, h).otherwise(F.array_join(F.transform(labels, lambda x, k: F.when(k == n - suffix - 1, keep_head(x, keep)).otherwise(x)), "."))
+
+
+def mask_email(email: Column | str, keep: float) -> Column:
+    e = _c(email)
+    return F.concat(keep_head(F.substring_index(e, "@", 1), keep), F.lit("@"), mask_host(F.substring_index(e, "@", -1), keep))
