@@ -312,12 +312,11 @@ def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", *map(count, kinds))
 
 
-SQL["q_terms"] = r"""
-with m as (select doc_id, i, p, lower(coalesce(left(q, 1), '')) nxt, lower(coalesce(right(b, 1), '')) prv from (select doc_id, i, p, lag(p) over (partition by doc_id order by i) b, lead(p) over (partition by doc_id order by i) q from (select doc_id, unnest(ps) p, unnest(range(len(ps))) i from
-  (select doc_id, string_split_regex(regexp_replace(lower(text), 'tion[ ._-]the|tionthe|and the|the of|onthe|of', chr(1) || '\0' || chr(2), 'g'), '[\x01\x02]') ps from documents where lang = 'en'))))
-select d.doc_id, count_if(regexp_matches(p, '^tion') and i % 2 = 1)::int n_client, count_if(p = 'the of' and i % 2 = 1)::int n_user, count_if(p = 'onthe' and i % 2 = 1)::int n_host,
-  count_if((p = 'and the' or (p = 'of' and not regexp_matches(nxt, '[\p{L}\p{N}]') and not regexp_matches(prv, '[\p{L}\p{N}]'))) and i % 2 = 1)::int n_custom
-from m join (select doc_id from documents where lang = 'en') d using (doc_id) group by 1"""
+SQL["q_terms"] = rf"""
+with m as (select doc_id, i, "match" p, case when "start" > 0 then t["start"] else '' end prv, t["start" + len("match") + 1] nxt from {_matches("documents", "doc_id", "lower(text)", "tion[ ._-]the|tionthe|and the|the of|onthe|of")})
+select doc_id, count_if(i % 2 = 1 and starts_with(p, 'tion'))::int n_client, count_if(i % 2 = 1 and p = 'the of')::int n_user, count_if(i % 2 = 1 and p = 'onthe')::int n_host,
+  count_if(i % 2 = 1 and (p = 'and the' or (p = 'of' and not regexp_matches(nxt, '[\p{{L}}\p{{N}}]') and not regexp_matches(prv, '[\p{{L}}\p{{N}}]'))))::int n_custom
+from m join documents using (doc_id) where lang = 'en' group by doc_id"""
 
 
 # vault
