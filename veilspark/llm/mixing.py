@@ -65,8 +65,11 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     ``entropy`` the repeat limit is not applied.
     """
     own = docs.drop(*OUTPUT)
-    counted = own.withColumns({"__n": tokens(text), "__s": F.coalesce(F.col(source).cast("string"), F.lit("\0"))})
-    sized = counted.where("__n > 0").groupBy("__s").agg(F.sum("__n").alias("total"))
+    named = own.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("__s", F.coalesce(F.col(source).cast("string"), F.lit("\0")))
+    dealt = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
+    # tokens are counted once, into a table without texts
+    counted = materialise(named.select("__s", tokens(text).alias("__n"), dealt.alias("__h")), "token-counts")
+    sized = counted.groupBy("__s").agg(F.sum("__n").alias("total"))
     total = sized.agg(F.sum("total").alias("t"), F.count("*").alias("k")).first()
     whole, budget = total.t or 0, (total.t or 0) if budget is None else budget
     if not whole or budget <= 0:
@@ -78,16 +81,16 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     sources = sources.withColumn("full", F.floor(F.col("quota") / F.col("total") + 1e-9).cast("int")).withColumn("blocks", F.ceil(F.col("total") / block_tokens))
     sources = materialise(sources, "source-quotas")
     small = F.broadcast(sources) if total.k <= FEW else sources
-    dealt = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
-    placed = counted.where("__n > 0").join(small.select("__s", "blocks"), "__s").withColumn("block", F.pmod(dealt, F.col("blocks"))).drop("blocks")
-    blocks = placed.groupBy("__s", "block").agg(F.sum("__n").alias("n")).join(small, "__s")
+    placed = named.withColumn("__h", dealt).join(small.select("__s", "blocks"), "__s").withColumn("block", F.pmod("__h", F.col("blocks"))).drop("blocks", "__h")
+    blocks = counted.join(small, "__s").withColumn("block", F.pmod("__h", F.col("blocks")))
+    blocks = blocks.groupBy("__s", "block").agg(F.sum("__n").alias("n")).join(small, "__s")
     each = blocks.select("__s", "block", "n", "total", "quota", "weight", "full", F.explode(F.sequence(F.lit(0), F.col("full"))).alias("epoch"))
     order = Window.partitionBy("__s").orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", "__s", "block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     taken = each.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < F.col("quota") - 1e-6)
     taken = materialise(taken.select("__s", "block", "epoch", "weight", (F.col("before") / F.col("quota")).alias("position"), (F.col("quota") - F.col("before")).alias("room"), (F.col("before") + F.col("n") > F.col("quota") + 1e-6).alias("part")), "taken-blocks")
     rows = placed.join(taken, ["__s", "block"])
     within = Window.partitionBy("__s", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", F.col(doc_id).cast("string")), doc_id).rowsBetween(Window.unboundedPreceding, -1)
-    ids = placed.join(taken.where("part"), ["__s", "block"])
-    cut = ids.withColumn("__b", F.coalesce(F.sum("__n").over(within), F.lit(0))).where(F.col("__b") < F.col("room"))
-    both = rows.where(~F.col("part")).unionByName(cut.drop("__b"))
+    ended = placed.join(taken.where("part"), ["__s", "block"]).withColumn("__n", tokens(text))
+    cut = ended.withColumn("__b", F.coalesce(F.sum("__n").over(within), F.lit(0))).where(F.col("__b") < F.col("room"))
+    both = rows.where(~F.col("part")).unionByName(cut.drop("__b", "__n"))
     return both.select(*own.columns, "epoch", "block", "position", "weight")
