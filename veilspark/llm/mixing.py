@@ -19,8 +19,8 @@ order, and documents only within the one block in which a budget ends.
 Defined cases: null sources are one source, named null; null text has no tokens;
 sources without tokens have no weight and are left out, as are documents without
 tokens; an empty table gives an empty mixture; a budget of zero too; repeated rows
-are documents of their own; a target beyond what exponents of 0 to ``MOST`` reach
-gives the nearest of them. Input columns named like an output are replaced.
+are documents of their own; a target beyond what exponents of 0 to ``MOST`` (1 for
+repeats) reach gives the nearest of them. Input columns named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -45,7 +45,8 @@ def exponent(shares: DataFrame, ratio: float, entropy: float | None = None, repe
 
     Entropy falls with the exponent, and so do the repeats of the smallest source.
     """
-    low, high = 0.0, MOST
+    # at 1 all sources repeat alike; beyond it the largest would repeat more again
+    low, high = 0.0, MOST if entropy is not None else 1.0
     for _ in range(ROUNDS):
         grid = [low + (high - low) * k / (1 << LEVELS) for k in range(1, 1 << LEVELS)]
         at = shares.select(F.log("p").alias("lp"), F.explode(F.array(*map(F.lit, grid))).alias("t"))

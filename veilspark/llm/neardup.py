@@ -19,7 +19,8 @@ Copies are collapsed to one fingerprint before any of this.
 
 Defined cases: null is an empty text, whose fingerprint is zero and links like
 any other; fewer words than a shingle are hashed as one sequence; rows that
-share a doc_id are one document, the one with the smallest fingerprint.
+share a doc_id are one document, the one with the smallest fingerprint; rows
+without a doc_id can't be named in a group and have no row in the result.
 """
 
 from __future__ import annotations
@@ -123,7 +124,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
                 out.append(fingerprint_words(Words(raw, at, LOWER), shingle))
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "fp"])
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,7 +139,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **more) ->
             yield pa.RecordBatch.from_arrays([pa.array([*map(bytes, x)], pa.binary()), batch.column(label), batch.column("doc_id").cast(pa.int64())], names=["x", "y", "doc_id"])
 
     rows = labelled.sample(docs, labels, [label], **more).mapInArrow(measured, "x binary, y double, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, -1)
+    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, len(_MASKS) + 11)
     return fit(x, rows.column("y").to_numpy())
 
 

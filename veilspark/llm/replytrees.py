@@ -87,9 +87,9 @@ def conversations(rows: DataFrame, tree: str = "conv_id", node: str = "node", pa
     before = Window.partitionBy("tree", "leaf").orderBy(F.desc("back")).rowsBetween(Window.unboundedPreceding, -1)
     turns = turns.withColumn("lo", F.coalesce(F.sum("size").over(before), F.lit(0)) + F.char_length("prefix"))
     turn = F.struct((-F.col("back")).alias("at"), F.concat("prefix", "body", F.lit(STOP)).alias("piece"), (F.col("role") == "assistant").alias("loss"), "lo", (F.col("lo") + F.char_length("body")).alias("hi"))
-    whole = turns.groupBy("tree", "leaf", "rank").agg(F.first("own_tree").alias(tree), F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = turns.groupBy("tree", "leaf", "rank").agg(F.first("own_tree").alias("__tree"), F.array_sort(F.collect_list(turn)).alias("turns"))
     spans = F.transform(F.filter("turns", lambda t: t.loss), lambda t: F.struct(t.lo.alias("lo"), t.hi.alias("hi")))
-    return whole.select(tree, "leaf", "rank", F.array_join(F.transform("turns", lambda t: t.piece), "\n").alias("formatted"), spans.alias("loss_spans"))
+    return whole.select(F.col("__tree").alias(tree), "leaf", "rank", F.array_join(F.transform("turns", lambda t: t.piece), "\n").alias("formatted"), spans.alias("loss_spans"))
 
 
 def parsed(formatted: Column) -> Column:
