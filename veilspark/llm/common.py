@@ -48,6 +48,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a written table is broadcast; some tens of MB.
+FEW = 1_000_000
+
+
+def sized(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``df`` (written already), to be broadcast if it is small: then the texts it is joined to stay where they are.
+
+    Its size is counted first, as the rows of ``rows`` where a row isn't of fixed
+    size; a larger one is joined by a shuffle.
+    """
+    return F.broadcast(df) if (df if rows is None else rows).count() <= FEW else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

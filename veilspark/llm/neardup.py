@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise
+from .common import components, materialise, sized
 from .textkit import LOWER, Words, pieces
 
 _SEED = 42
@@ -163,5 +163,5 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
     """``docs`` without the documents that link, directly or not, to one with a smaller id. Rows without an id stay."""
     found = near_duplicates(docs, text, doc_id, **more)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs[doc_id] == F.col("__gone"), "left_anti")
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "near-duplicates")
+    return docs.join(sized(gone), docs[doc_id] == gone["__gone"], "left_anti")
