@@ -241,6 +241,38 @@ def test_lines(spark):
     assert linedup.drop_repeated_lines(spark.createDataFrame([], EMPTY)).count() == 0
 
 
+def test_lines_by_edits_alone(spark):
+    """Groups of near lines against brute force on edit similarity, whatever the words' lengths."""
+    rng = random.Random(8)
+    short = ["a", "to", "of", "in", "it", "we", "be", "or", "by", "up"]
+    lines = [" ".join((rng.choice(short) if k % 3 == 0 else rng.choice(WORDS)) + str(rng.randrange(90)) for _ in range(rng.choice([5, 9, 14, 30]))) for k in range(40)]
+    lines += [" ".join(rng.choice(short) for _ in range(12)) for _ in range(5)]
+    texts = []
+    for line in lines:
+        w = line.split(" ")
+        for changes in (1, max(1, len(w) // 8)):
+            v = list(w)
+            for k in rng.sample(range(len(w)), changes):
+                v[k] += "s"
+            texts.append(" ".join(v))
+    texts = list(dict.fromkeys(lines + texts))
+    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in near:
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    want = {k for k in range(len(texts)) if find(k) != k}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for bucket in (64, 1):
+        got = {r.id for r in linedup.repeated_lines(df, bucket=bucket, shingled=True).collect()}
+        assert got <= want and len(got) >= 0.97 * len(want) > 60, (len(got), len(want), want - got)
+
+
 def test_long_lines_count_the_same(spark):
     words = [f"word{k % 997}" for k in range(20_000)]
     df = spark.createDataFrame([(1, " ".join(words))], "id long, text string")

@@ -145,7 +145,7 @@ from e group by conv_id
 def op9_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     lines = F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long")
-    done = linedup.drop_repeated_lines(docs.withColumn("n_lines", lines))
+    done = linedup.drop_repeated_lines(docs.withColumn("n_lines", lines), shingled=True)
     return done.select("doc_id", "n_lines", F.char_length("text").cast("long").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
