@@ -273,6 +273,17 @@ def test_lines_by_edits_alone(spark):
         assert got <= want and len(got) >= 0.97 * len(want) > 60, (len(got), len(want), want - got)
 
 
+def test_full_keys_keep_bridges(spark):
+    """In a full key L1~x, x~y and y~L2; x and y are settled by different leads."""
+    chain = ["b" * k + "a" * (50 - k) for k in (0, 8, 16, 24)]
+    assert [distance(chain[a], chain[b]) <= 10 for a, b in itertools.combinations(range(4), 2)] == [True, False, False, True, False, True]
+    texts = spark.createDataFrame([(node, chain[k]) for node, k in ((0, 0), (2, 1), (3, 2), (1, 3))], "node long, line string")
+    full = texts.select(F.lit(1).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("fp"))
+    pairs = spark.createDataFrame([], "a long, b long")
+    links = linedup.line_links(pairs, full, texts, 0.8, 3)
+    assert {(r.node, r.component) for r in common.components(links).collect()} == {(n, 0) for n in range(4)}
+
+
 def test_long_lines_count_the_same(spark):
     words = [f"word{k % 997}" for k in range(20_000)]
     df = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
