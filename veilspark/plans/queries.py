@@ -376,7 +376,7 @@ def _items(spark: SparkSession, sf_dir: str, role: int) -> DataFrame:
     status = F.when(F.col("page_id") % 7 == 0, "403").when(F.col("page_id") % 11 == 0, "x").otherwise("200")
     raw = pages.select(
         F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.lit("443").alias("port"), F.regexp_extract("url", "^([a-z]+):", 1).alias("protocol"), F.lit("get").alias("method"), path.alias("path"), status.alias("status"),
-        F.lit("HTML").alias("mimetype"), F.lit("null").alias("extension"), F.lit(b"").alias("request"), F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), F.substring("html", 1, 90)), "UTF-8").alias("response"),
+        F.lit("HTML").alias("mimetype"), F.lit("null").alias("extension"), F.lit(b"").alias("request"), F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), "html"), "UTF-8").alias("response"),
     )
     return sitemap.items(raw)
 
