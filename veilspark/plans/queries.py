@@ -370,8 +370,10 @@ select doc_id, true same from f group by doc_id having count_if(masked in (selec
 # comparison of two roles, made from the pages
 
 
-def _items(spark: SparkSession, sf_dir: str, role: int) -> DataFrame:
-    pages = _table(spark, sf_dir, "pages").where(F.col("page_id") % 3 != role)
+def _items(spark: SparkSession, sf_dir: str, role: int | None = None) -> DataFrame:
+    """Items of all pages, or of one side of the comparison."""
+    pages = _table(spark, sf_dir, "pages")
+    pages = pages if role is None else pages.where(F.col("page_id") % 3 != role)
     path = F.regexp_extract("url", r"^[a-z]+://[^/]+(/[^#]*)?", 1)
     status = F.when(F.col("page_id") % 7 == 0, "403").when(F.col("page_id") % 11 == 0, "x").otherwise("200")
     raw = pages.select(
@@ -422,7 +424,7 @@ _LABEL = "('GET ' || path || case when len(query) > 0 then '?' || array_to_strin
 
 @query
 def q_template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    of = _items(spark, sf_dir, 2)
+    of = _items(spark, sf_dir)
     return of.groupBy("origin", "path", F.array_join("query", "&").alias("query")).agg(F.count("*").alias("n"))
 
 
@@ -431,7 +433,7 @@ SQL["q_template_paths"] = f"select origin, path, array_to_string(query, '&') que
 
 @query
 def q_endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sitemap.endpoint_stats(_items(spark, sf_dir, 0), keys=False)
+    s = sitemap.endpoint_stats(_items(spark, sf_dir), keys=False)
     return s.select(sitemap.label().alias("label"), "origin", "requests", "min_size", "max_size", F.array_join(F.transform("statuses", lambda x: x.cast("string")), ", ").alias("statuses"), F.size("exact").alias("n_exact"), F.size("loose").alias("n_loose"))
 
 
@@ -448,7 +450,7 @@ SQL["q_compare_classes"] = f"select origin, {_LABEL} as label, class, identical,
 
 @query
 def q_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemap.left_out(_items(spark, sf_dir, 0))
+    return sitemap.left_out(_items(spark, sf_dir))
 
 
 SQL["q_left_out"] = f"select count_if(status is null) unrequested, 0::bigint static_items from {_sql_items(0)}"
