@@ -303,7 +303,7 @@ SQL["q_segments"] = f"""select doc_id, count_if(i % 2 = 1 or "match" <> '')::int
 
 @query
 def q_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = redact(_table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", "text"), TERMS)
+    done = redact(_table(spark, sf_dir, "documents").select("doc_id", "text"), TERMS)
     kinds = ("client", "user", "host", "custom")
 
     def count(kind: str) -> F.Column:
