@@ -284,6 +284,12 @@ def test_full_keys_keep_bridges(spark):
     assert {(r.node, r.component) for r in common.components(links).collect()} == {(n, 0) for n in range(4)}
 
 
+def test_short_lines_by_equality(spark):
+    df = frame(spark, [(1, "all rights reserved\nok\n\nread more"), (2, "All  rights reserved\nok\n\nread mores\nread more")])
+    got = {(r.id, p) for r in linedup.repeated_lines(df, shingled=True).collect() for p in r.gone}
+    assert got == {(2, 0), (2, 4)}
+
+
 def test_long_lines_count_the_same(spark):
     words = [f"word{k % 997}" for k in range(20_000)]
     df = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
