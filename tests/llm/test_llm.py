@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from veilspark.llm import common, decontaminate, lattice, linedup, mixing, neardup, passages, quality, repetition, replytrees, textkit, toxicity
+from veilspark.llm import common, decontaminate, lattice, mixing, neardup, passages, quality, repetition, replytrees, textkit, toxicity
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = ["alpha", "bravo", "charlie", "delta", "échô", "foxtrot", "golf", "hotel", "india", "ümlaut", "kilo", "lima"]
@@ -115,6 +115,14 @@ def test_passages(spark, docs):
     assert passages.remove_repeats(spark.createDataFrame([], EMPTY)).count() == 0
     twice = passages.remove_repeats(spark.createDataFrame([(1, "a b " * 30), (1, "a b " * 30), (None, "c")], EMPTY)).collect()
     assert len(twice) == 3 and len({r.text for r in twice if r.doc_id == 1}) == 1
+    # ids 1 and 2 share 200 words; another row of id 2, and rows without an id, have words of their own
+    shared, own, third, fourth = (" ".join(f"{x}{k}" for k in range(n)) for x, n in (("s", 200), ("o", 150), ("t", 150), ("u", 170)))
+    got = {r.text: (r.doc_id, r.n_removed) for r in passages.remove_repeats(spark.createDataFrame([(1, shared), (2, shared), (2, own), (None, third), (None, fourth)], EMPTY), hot=3, shard=4).collect()}
+    assert got == {shared: (1, 0), "": (2, 200), own: (2, 0), third: (None, 0), fourth: (None, 0)}
+    with pytest.raises(TypeError):
+        passages.remove_repeats(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+    with pytest.raises(ValueError):
+        passages.remove_repeats(spark.createDataFrame([], EMPTY), window=80)
 
 
 def test_neardup(spark, docs):
@@ -142,6 +150,14 @@ def test_neardup(spark, docs):
     one = neardup.one_per_group(frame(spark, docs))
     assert {r.doc_id for r in one.collect()} == {d for d in fps if find(d) == d} and "fp" in one.columns
     assert neardup.near_duplicates(spark.createDataFrame([], EMPTY)).count() == 0
+    # one row for each row, whatever its id; links of either text of id 7 count
+    words = [" ".join(f"{x}{k}" for k in range(40)) for x in "abc"]
+    rows = [(7, words[0]), (7, words[1]), (None, words[0]), (9, words[1]), (9, words[1]), (None, words[2]), (None, words[2]), (3, words[0])]
+    df = spark.createDataFrame(rows, EMPTY)
+    got = Counter((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == Counter({(7, 3): 1, (7, 7): 1, (None, 3): 1, (9, 7): 2, (None, None): 2, (3, 3): 1})
+    assert sorted(map(str, neardup.one_per_group(df).collect())) == sorted(map(str, spark.createDataFrame([(3, words[0]), (7, words[1]), (None, words[2])], EMPTY).collect()))
+    assert {r.component_id for r in neardup.near_duplicates(df.select(F.col("doc_id").cast("string").alias("doc_id"), "text")).collect()} == {"3", "7", None}
 
 
 def test_golay_keys_cover_two_errors():
@@ -188,117 +204,6 @@ def test_decontaminate(spark, docs):
     assert decontaminate.find(frame(spark, docs), items_df.limit(0)).where("size(hit_spans) > 0").count() == 0
 
 
-def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
-
-
-def test_lines(spark):
-    rng = random.Random(2)
-    lines = [" ".join(rng.choice(WORDS) + rng.choice(WORDS) for _ in range(rng.choice([2, 6, 14, 30]))) for _ in range(25)]
-
-    def change(line):
-        w = line.split(" ")
-        w[rng.randrange(len(w))] += "s"
-        return " ".join(w)
-
-    docs = [(k, "\n".join(rng.choice([lambda x: x, lambda x: x, change, str.upper, lambda x: x.replace(" ", "  ", 1)])(rng.choice(lines)) for _ in range(6))) for k in range(30)] + [(50, None), (51, ""), (52, "\n \n")]
-    where, prints = {}, {}
-    for d, t in sorted(docs):
-        for k, line in enumerate((t or "").split("\n")):
-            w = split(line.lower())
-            if len(w) >= 5:
-                where.setdefault(" ".join(w), []).append((d, k))
-    for line in where:
-        votes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ") if len(w) >= 4]
-        if len(votes) >= 5:
-            prints[line] = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in votes) > len(votes))
-    root = {x: x for x in where}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in itertools.combinations(prints, 2):
-        if (prints[a] ^ prints[b]).bit_count() <= 2 and distance(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9):
-            root[find(a)] = find(b)
-    groups = {}
-    for x in where:
-        groups.setdefault(find(x), []).extend(where[x])
-    want = {p for g in groups.values() for p in g if p != min(g)}
-    df = frame(spark, docs)
-    for bucket in (64, 1):
-        assert {(r.id, p) for r in linedup.repeated_lines(df, bucket=bucket).collect() for p in r.gone} == want
-    done = {r.doc_id: r.text for r in linedup.drop_repeated_lines(df).collect()}
-    for d, t in docs:
-        assert done[d] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in want))
-    assert linedup.drop_repeated_lines(spark.createDataFrame([], EMPTY)).count() == 0
-
-
-def test_lines_by_edits_alone(spark):
-    """Groups of near lines against brute force on edit similarity, whatever the words' lengths."""
-    rng = random.Random(8)
-    short = ["a", "to", "of", "in", "it", "we", "be", "or", "by", "up"]
-    lines = [" ".join((rng.choice(short) if k % 3 == 0 else rng.choice(WORDS)) + str(rng.randrange(90)) for _ in range(rng.choice([5, 9, 14, 30]))) for k in range(40)]
-    lines += [" ".join(rng.choice(short) for _ in range(12)) for _ in range(5)]
-    texts = []
-    for line in lines:
-        w = line.split(" ")
-        for changes in (1, max(1, len(w) // 8)):
-            v = list(w)
-            for k in rng.sample(range(len(w)), changes):
-                v[k] += "s"
-            texts.append(" ".join(v))
-    texts = list(dict.fromkeys(lines + texts))
-    near = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if distance(texts[a], texts[b]) <= int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)]
-    root = list(range(len(texts)))
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a, b in near:
-        root[max(find(a), find(b))] = min(find(a), find(b))
-    want = {k for k in range(len(texts)) if find(k) != k}
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for bucket in (64, 1):
-        got = {r.id for r in linedup.repeated_lines(df, bucket=bucket, shingled=True).collect()}
-        assert got <= want and len(got) >= 0.97 * len(want) > 60, (len(got), len(want), want - got)
-
-
-def test_full_keys_keep_bridges(spark):
-    """In a full key L1~x, x~y and y~L2; x and y are settled by different leads."""
-    chain = ["b" * k + "a" * (50 - k) for k in (0, 8, 16, 24)]
-    assert [distance(chain[a], chain[b]) <= 10 for a, b in itertools.combinations(range(4), 2)] == [True, False, False, True, False, True]
-    texts = spark.createDataFrame([(node, chain[k]) for node, k in ((0, 0), (2, 1), (3, 2), (1, 3))], "node long, line string")
-    full = texts.select(F.lit(1).cast("long").alias("key"), "node", F.lit(0).cast("long").alias("fp"))
-    pairs = spark.createDataFrame([], "a long, b long")
-    links = linedup.line_links(pairs, full, texts, 0.8, 3)
-    assert {(r.node, r.component) for r in common.components(links).collect()} == {(n, 0) for n in range(4)}
-
-
-def test_short_lines_by_equality(spark):
-    df = frame(spark, [(1, "all rights reserved\nok\n\nread more"), (2, "All  rights reserved\nok\n\nread mores\nread more")])
-    got = {(r.id, p) for r in linedup.repeated_lines(df, shingled=True).collect() for p in r.gone}
-    assert got == {(2, 0), (2, 4)}
-
-
-def test_long_lines_count_the_same(spark):
-    words = [f"word{k % 997}" for k in range(20_000)]
-    df = spark.createDataFrame([(1, " ".join(words))], "id long, text string")
-    got = linedup._fingerprints(df).first()
-    votes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64)
-    want = sum(1 << b for b in range(64) if 2 * int((votes >> np.uint64(b) & np.uint64(1)).sum()) > len(words))
-    assert got.n == 20_000 and got.fp % 2**64 == want
-
-
 def test_mixing(spark):
     rows = [(k, ["a", "a", "a", "b", None][k % 5], "w " * (k % 9)) for k in range(400)] + [(400, "c", "one two"), (401, "d", None), (402, "d", " ")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("epoch", F.lit("own"))

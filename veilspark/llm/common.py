@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -15,13 +17,16 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``, or the context's own.
 
-    Only where neither is set (tests on one machine) a temporary folder is made.
+    Only where neither is set and all runs on one machine (tests) a temporary folder is made.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
         current = spark.sparkContext.getCheckpointDir()
     return current.rstrip("/")
@@ -45,20 +50,30 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
 
 
-#: Rows of a few numbers up to which a written table is broadcast; some tens of MB.
-FEW = 1_000_000
+def discard(*written: DataFrame) -> None:
+    """Removes tables of ``materialise`` that nothing reads any more."""
+    for df in written:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def sized(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
-    """``df`` (written already), to be broadcast if it is small: then the texts it is joined to stay where they are.
+def text_hash(text: str) -> Column:
+    """What tells rows with one id apart, wherever and however often they are read."""
+    return F.xxhash64(F.lit(3), F.col(text))
 
-    Its size is counted first, as the rows of ``rows`` where a row isn't of fixed
-    size; a larger one is joined by a shuffle.
-    """
-    return F.broadcast(df) if (df if rows is None else rows).count() <= FEW else df
+
+def whole_id(docs: DataFrame, doc_id: str) -> Column:
+    """The id as a long, null as the least one; ids that aren't whole numbers are refused."""
+    kind = docs.schema[doc_id].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"{doc_id} is {kind.simpleString()}; this operator takes whole numbers as ids")
+    return F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,7 +88,7 @@ def components(edges: DataFrame, label: str = "links", limit: int = 100) -> Data
     Both are a min aggregate (combined before the shuffle) joined back on the node.
     The aggregates are written first: both sides of the joins are then plain
     exchanges, whose hot keys the adaptive planner can split. Rounds grow with the
-    logarithm of the longest chain.
+    logarithm of the longest chain; a round's tables go when the next one's are written.
     Nodes without a link are absent. An empty input gives an empty result.
     """
     links = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
@@ -86,10 +101,11 @@ def components(edges: DataFrame, label: str = "links", limit: int = 100) -> Data
         seen = (state.n, state.h)
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), label)
-        large = materialise(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
+        large = materialise(both.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), label)
         lowest = materialise(large.groupBy("u").agg(F.min("v").alias("m")), label)
-        small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
-        links = materialise(small.where("u <> v").distinct(), label)
+        small = large.join(lowest.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(lowest.select("u", F.col("m").alias("v")))
+        before, links = links, materialise(small.where("u <> v").distinct(), label)
+        discard(before, least, large, lowest)
     else:
         raise RuntimeError(f"components did not settle in {limit} rounds")
     rooted = links.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -18,9 +18,10 @@ such word are within two bits of each other, and every link has such a word.
 Copies are collapsed to one fingerprint before any of this.
 
 Defined cases: null is an empty text, whose fingerprint is zero and links like
-any other; fewer words than a shingle are hashed as one sequence; rows that
-share a doc_id are one document, the one with the smallest fingerprint; rows
-without a doc_id can't be named in a group and have no row in the result.
+any other; fewer words than a shingle are hashed as one sequence; every row is a
+document of its own and has a row in the result, whether it shares its doc_id or has
+none; a component without any doc_id has a null component_id. Ids are of any type with
+an order. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialise, sized
+from .common import components, discard, materialise, text_hash
 from .textkit import LOWER, Words, pieces
 
 _SEED = 42
@@ -115,53 +116,72 @@ def fingerprint_words(w: Words, shingle: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
-    """Rows ``doc_id, fp`` (the fingerprint as a signed long)."""
+    """Rows ``doc_id, th`` (a hash of the text)``, fp`` (the fingerprint as a signed long), one a row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(0, np.uint64)]
-            for _, _, raw, at in pieces(batch.column(1)):
+            for _, _, raw, at in pieces(batch.column(2)):
                 out.append(fingerprint_words(Words(raw, at, LOWER), shingle))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "th", "fp"])
 
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, fp long")
+    lean = docs.select(F.col(doc_id).alias("doc_id"), text_hash(text).alias("th"), F.col(text).alias("text"))
+    return lean.mapInArrow(run, f"doc_id {lean.schema['doc_id'].dataType.simpleString()}, th long, fp long")
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        fp, node = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+        fp = batch.column(0).to_numpy(zero_copy_only=False)
         row, key = composite_keys(fp.view(np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row]), pa.array(node[row])], names=["key", "fp", "node"])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
 
 def links(unique: DataFrame, bucket: int = 64) -> DataFrame:
-    """``unique``: rows fp, node, one a fingerprint. Links ``a, b`` of nodes whose components are those of all links."""
-    keys = materialise(unique.select("fp", "node").mapInArrow(_keys, "key long, fp long, node long"), "golay-keys")
+    """``unique``: rows fp, each once. Links ``a, b`` of fingerprints whose components are those of all links."""
+    keys = materialise(unique.select("fp").mapInArrow(_keys, "key long, fp long"), "golay-keys")
     shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    members = materialise(keys.join(shared, "key"), "golay-buckets")
-    few = members.where(F.col("n") <= bucket)
-    one, two = few.select("key", F.col("fp").alias("fp1"), F.col("node").alias("a")), few.select("key", F.col("fp").alias("fp2"), F.col("node").alias("b"))
-    near = F.bit_count(F.col("fp1").bitwiseXOR(F.col("fp2"))) <= 2
-    pairs = one.join(two, (one.key == two.key) & (F.col("a") < F.col("b")) & near).select("a", "b")
-    full = members.where(F.col("n") > bucket).select("fp", "node").distinct()
-    around = full.select("node", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))).alias("word"))
-    least = around.groupBy("word").agg(F.min("node").alias("b"), F.count("*").alias("n")).where("n > 1")
-    stars = around.join(least, "word").where("node <> b").select(F.col("node").alias("a"), "b")
-    return pairs.unionByName(stars)
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bucket: int = 64) -> DataFrame:
-    """Rows ``doc_id, fingerprint`` (16 hexadecimal digits)``, component_id``, one a doc_id."""
+    members = materialise(keys.join(shared.hint("merge"), "key"), "golay-buckets")
+    discard(keys, shared)
+    lists = members.where(F.col("n") <= bucket).groupBy("key").agg(F.collect_list("fp").alias("all"))
+    pairs = F.flatten(F.transform("all", lambda x, k: F.transform(F.slice("all", k + 2, F.size("all")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    near = lists.select(F.explode(pairs).alias("p")).select("p.a", "p.b").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
+    full = members.where(F.col("n") > bucket).select("fp").distinct()
+    around = full.select("fp", F.explode(F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))).alias("word"))
+    least = around.groupBy("word").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = around.join(least.hint("merge"), "word").where("fp <> b").select(F.col("fp").alias("a"), "b")
+    return near.unionByName(stars)
+
+
+def _grouped(docs: DataFrame, text: str, doc_id: str, shingle: int, bucket: int) -> tuple[DataFrame, DataFrame]:
+    """(rows doc_id, th, fp; rows fp, part: the component's least fingerprint), both written."""
     prints = materialise(fingerprints(docs, text, doc_id, shingle), "fingerprints")
-    prints = prints.groupBy("doc_id").agg(F.min("fp").alias("fp"))
-    unique = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("node")), "unique-fingerprints")
+    unique = materialise(prints.select("fp").distinct(), "unique-fingerprints")
     found = components(links(unique, bucket), "golay-links")
-    named = unique.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return prints, materialise(unique.join(found.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("part")), "golay-parts")
 
 
-def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **more) -> DataFrame:
-    """``docs`` without the documents that link, directly or not, to one with a smaller id. Rows without an id stay."""
-    found = near_duplicates(docs, text, doc_id, **more)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")), "near-duplicates")
-    return docs.join(sized(gone), docs[doc_id] == gone["__gone"], "left_anti")
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bucket: int = 64) -> DataFrame:
+    """Rows ``doc_id, fingerprint`` (16 hexadecimal digits)``, component_id``, one a row of ``docs``."""
+    prints, parts = _grouped(docs, text, doc_id, shingle, bucket)
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("own"))
+    named = materialise(least.join(parts.hint("merge"), "fp"), "golay-named")
+    ids = materialise(named.groupBy("part").agg(F.min("own").alias("component_id")), "golay-ids")
+    by_print = materialise(named.select("fp", "part").join(ids.hint("merge"), "part").select("fp", "component_id"), "golay-components")
+    return prints.join(by_print.hint("merge"), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, bucket: int = 64) -> DataFrame:
+    """``docs`` with one row of each group: the one with the smallest id (those without come last), then text hash, then row as JSON."""
+    prints, parts = _grouped(docs, text, doc_id, shingle, bucket)
+    each = prints.groupBy("fp", "doc_id", "th").agg(F.count("*").alias("n"))
+    each = materialise(each.join(parts.hint("merge"), "fp"), "golay-rows")
+    first = materialise(each.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("first")), "golay-first")
+    judged = each.join(first.hint("merge"), "part").withColumn("stays", F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))
+    judged = materialise(judged.where("not stays or n > 1").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "stays"), "near-duplicates")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(doc_id).alias("__own"), text_hash(text).alias("__hash"))
+    same = F.col("__own").eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__th"))
+    left = rows.join(judged.hint("merge"), same, "left_anti").select("__row")
+    again = judged.where("stays")
+    if not again.isEmpty():  # the row that stays is there more than once
+        left = left.unionByName(rows.join(again.hint("merge"), same, "left_semi").groupBy("__own", "__hash").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row"))
+    return left.select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))

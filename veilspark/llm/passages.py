@@ -19,9 +19,11 @@ windows, never the corpus's. The decisions return to the documents by doc_id.
 
 Memory: a document and a shard. Words are compared as text, not by hash.
 
-Defined cases: null has no words; documents shorter than a window lose nothing;
-rows that share a doc_id are taken as one document read twice, so that none is
-the repeat of the other; a null doc_id comes before all others.
+Defined cases: null has no words; documents shorter than a window lose nothing; a
+null doc_id comes before all others; rows are told apart by doc_id and a hash of
+their text, so rows that share an id are documents of their own, in the order of that
+hash; rows equal in both are one document read twice, so that none is the repeat of
+the other. Ids are whole numbers (else a TypeError). An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,11 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, text_hash, whole_id
 from .textkit import Words, parts, pieces, spans, window_hashes
 
 WINDOW, GRAM, HOT, SHARD = 20, 6, 2000, 20_000
-_SHIFT = 1 << 31
 
 
 def _first_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -77,10 +78,10 @@ def segments(w: Words, window: int, gram: int) -> tuple[np.ndarray, np.ndarray,
 def _anchors(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, _, raw, at in pieces(batch.column(1)):
+            ids, ths = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            for lo, _, raw, at in pieces(batch.column(2)):
                 row, first, n, anchor = segments(Words(raw, at), window, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[lo + row]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "id", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(ids[lo + row]), pa.array(ths[lo + row]), pa.array(first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["anchor", "id", "th", "lo", "n"])
 
     return run
 
@@ -94,15 +95,15 @@ def _flat(column: pa.Array, fields: tuple[str, ...]) -> tuple[np.ndarray, list[n
     return np.repeat(np.arange(len(column)), size), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
 
 
-def _combined(key: np.ndarray, words: pa.Array, ids: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
-    """One row for equal keys and words: the first by (id, lo)."""
+def _combined(key: np.ndarray, words: pa.Array, ids: np.ndarray, ths: np.ndarray, lo: np.ndarray) -> pa.RecordBatch:
+    """One row for equal keys and words: the first by (id, th, lo)."""
     coded = words.dictionary_encode().indices.to_numpy()
-    order = np.lexsort((lo, ids, coded, key))
+    order = np.lexsort((lo, ths, ids, coded, key))
     coded = coded[order]
     new = np.ones(len(order), bool)
     new[1:] = (coded[1:] != coded[:-1]) | (key[order][1:] != key[order][:-1])
     pick = order[new]
-    return pa.RecordBatch.from_arrays([pa.array(key[pick]), words.take(pa.array(pick)), pa.array(ids[pick]), pa.array(lo[pick])], names=["key", "words", "id", "lo"])
+    return pa.RecordBatch.from_arrays([pa.array(key[pick]), words.take(pa.array(pick)), pa.array(ids[pick]), pa.array(ths[pick]), pa.array(lo[pick])], names=["key", "words", "id", "th", "lo"])
 
 
 def _routed(window: int):
@@ -110,31 +111,29 @@ def _routed(window: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            owner, (first, n, anchor, hot) = _flat(batch.column(2), ("lo", "n", "anchor", "hot"))
+            ids, ths = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            owner, (first, n, anchor, hot) = _flat(batch.column(3), ("lo", "n", "anchor", "hot"))
             hot = hot.astype(bool)
             edges = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             got = []
-            for lo, hi, raw, at in pieces(batch.column(1)):
+            for lo, hi, raw, at in pieces(batch.column(2)):
                 own = slice(edges[lo], edges[hi])
                 w = Words(raw, at)
                 begin = w.bounds[owner[own] - lo] + first[own]
-                # a row that isn't the one the segment was read from may be shorter
-                fits = begin + n[own] + window - 1 <= w.bounds[owner[own] - lo + 1]
                 joined, at_word = w.joined()
                 size = w.ends - w.starts
-                cold = np.flatnonzero(fits & ~hot[own])
-                warm = np.flatnonzero(fits & hot[own])
+                cold = np.flatnonzero(~hot[own])
+                warm = np.flatnonzero(hot[own])
                 each = np.repeat(begin[warm], n[own][warm]) + (np.arange(n[own][warm].sum()) - np.repeat(np.cumsum(n[own][warm]) - n[own][warm], n[own][warm]))
                 by_window = window_hashes(w.hashes(), window).view(np.int64) if len(warm) else np.zeros(0, np.int64)
                 a = np.concatenate([begin[cold], each])
                 b = np.concatenate([begin[cold] + n[own][cold], each + 1]) + window - 2
                 key = np.concatenate([anchor[own][cold], by_window[each]])
                 row = np.concatenate([owner[own][cold], np.repeat(owner[own][warm], n[own][warm])])
-                got.append((key, spans(joined, at_word[a], at_word[b] + size[b]), ids[row], (a - w.bounds[row - lo]).astype(np.int32)))
+                got.append((key, spans(joined, at_word[a], at_word[b] + size[b]), ids[row], ths[row], (a - w.bounds[row - lo]).astype(np.int32)))
             if got:
-                key, words, own_ids, first = zip(*got, strict=True)
-                yield _combined(np.concatenate(key), pa.chunked_array(words, pa.string()).combine_chunks(), np.concatenate(own_ids), np.concatenate(first))
+                key, words, own_ids, own_ths, first = zip(*got, strict=True)
+                yield _combined(np.concatenate(key), pa.chunked_array(words, pa.string()).combine_chunks(), np.concatenate(own_ids), np.concatenate(own_ths), np.concatenate(first))
 
     return run
 
@@ -142,7 +141,7 @@ def _routed(window: int):
 def locate(texts: pa.Array, order: list[tuple], window: int) -> list[int]:
     """Bits of the windows of each text that are the first of their kind among all of them.
 
-    ``order``: (document, first window) of each text; an automaton over the windows
+    ``order``: (id, text hash, first window) of each text; an automaton over the windows
     that occur twice or more is run over all texts.
     """
     raw, at = parts(texts)
@@ -170,16 +169,16 @@ def locate(texts: pa.Array, order: list[tuple], window: int) -> list[int]:
     hits: list[tuple[int, int, int]] = []
     for r in np.unique(row[twice]).tolist():
         lo = int(w.bounds[r])
-        doc, start = order[r]
+        *doc, start = order[r]
         for end, phrase in automaton.iter(tuple(numbers[lo : int(w.bounds[r + 1])])):
             k = end - window + 1
-            at_doc = (doc, start + k)
+            at_doc = (*doc, start + k)
             hits.append((phrase, r, k))
             if phrase not in first or at_doc < first[phrase]:
                 first[phrase] = at_doc
     for phrase, r, k in hits:
-        doc, start = order[r]
-        if first[phrase] != (doc, start + k):
+        *doc, start = order[r]
+        if first[phrase] != (*doc, start + k):
             out[r] &= ~(1 << k)
     return out
 
@@ -187,9 +186,9 @@ def locate(texts: pa.Array, order: list[tuple], window: int) -> list[int]:
 def _located(window: int, shard: int):
     def flush(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(rows).combine_chunks()
-        ids, lo = t.column("id").to_numpy(), t.column("lo").to_numpy()
-        bits = locate(t.column("words").combine_chunks(), list(zip(ids.tolist(), lo.tolist(), strict=True)), window)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(lo), pa.array(bits, pa.int64())], names=["id", "lo", "first"])
+        ids, ths, lo = (t.column(c).to_numpy() for c in ("id", "th", "lo"))
+        bits = locate(t.column("words").combine_chunks(), list(zip(ids.tolist(), ths.tolist(), lo.tolist(), strict=True)), window)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ths), pa.array(lo), pa.array(bits, pa.int64())], names=["id", "th", "lo", "first"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -255,29 +254,31 @@ def _cut(window: int):
                 words.append(np.diff(w.bounds))
                 removed.append(total[w.bounds[1:]] - total[w.bounds[:-1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.chunked_array(text, pa.string()).combine_chunks(), *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (words, removed))], names=["id", "text", "n_words", "n_removed"]
+                [batch.column(0), pa.chunked_array(text, pa.string()).combine_chunks(), *(pa.array(np.concatenate([np.zeros(0, np.int64), *x])) for x in (words, removed))], names=["doc_id", "text", "n_words", "n_removed"]
             )
 
     return run
 
 
 def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", window: int = WINDOW, gram: int = GRAM, hot: int = HOT, shard: int = SHARD) -> DataFrame:
-    """Rows ``doc_id, text`` (the kept words joined by one blank)``, n_words, n_removed``, one a row of ``docs``."""
-    lean = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("id"), F.col(text).alias("text"))
-    anchors = materialise(lean.mapInArrow(_anchors(window, gram), "anchor long, id long, lo int, n int"), "anchors")
+    """Rows ``doc_id, text`` (the kept words joined by one blank)``, n_words, n_removed``, one a row of ``docs``.
+
+    A segment has ``window - gram + 1`` windows at most, whose decisions fit one long.
+    """
+    if not 0 <= window - gram < 63:
+        raise ValueError("a gram may be up to 62 words shorter than a window, and not longer")
+    lean = docs.select(F.col(doc_id).alias("own"), whole_id(docs, doc_id).alias("id"), text_hash(text).alias("th"), F.col(text).alias("text"))
+    anchors = materialise(lean.select("id", "th", "text").mapInArrow(_anchors(window, gram), "anchor long, id long, th long, lo int, n int"), "anchors")
     # written first, so that the join below has plain exchanges and a hot anchor can be split
     twice = materialise(anchors.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1"), "repeated-anchors")
-    found = anchors.join(twice, "anchor").groupBy("id").agg(F.collect_set(F.struct("lo", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segments"))
+    found = anchors.join(twice.hint("merge"), "anchor").groupBy("id", "th").agg(F.collect_set(F.struct("lo", "n", "anchor", (F.col("c") > hot).alias("hot"))).alias("segments"))
     found = materialise(found, "segments")
-    routed = lean.join(found, "id").select("id", "text", "segments").mapInArrow(_routed(window), "key long, words string, id long, lo int")
-    code = F.col("id").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(10,0)") + F.col("lo").cast("decimal(10,0)")
+    discard(anchors, twice)
+    routed = lean.join(found.hint("merge"), ["id", "th"]).select("id", "th", "text", "segments").mapInArrow(_routed(window), "key long, words string, id long, th long, lo int")
     # one shuffle, by key alone: the windows of an anchor meet in a task, and equal rows are combined there
-    code = code.cast("decimal(38,0)")
-    unique = routed.repartition("key").groupBy("key", "words").agg(F.min(code).alias("code"))
-    lo = F.pmod(F.col("code"), F.lit(_SHIFT).cast("decimal(10,0)"))
-    unique = unique.select("key", "words", ((F.col("code") - lo) / F.lit(_SHIFT)).cast("long").alias("id"), lo.cast("int").alias("lo"))
-    kept = unique.sortWithinPartitions("key").select("key", "words", "id", "lo").mapInArrow(_located(window, shard), "id long, lo int, first long")
-    decided = kept.groupBy("id").agg(F.collect_list(F.struct("lo", "first")).alias("kept"))
-    plan = found.select("id", F.transform("segments", lambda s: F.struct(s.lo.alias("lo"), s.n.alias("n"))).alias("segments")).join(decided, "id", "left")
-    cut = lean.join(materialise(plan, "decisions"), "id", "left").select("id", "text", "segments", "kept").mapInArrow(_cut(window), "id long, text string, n_words long, n_removed long")
-    return cut.select(F.when(F.col("id") > -(2**63), F.col("id")).alias("doc_id"), "text", "n_words", "n_removed")
+    unique = routed.repartition("key").groupBy("key", "words").agg(F.min(F.struct("id", "th", "lo")).alias("at"))
+    kept = unique.sortWithinPartitions("key").select("key", "words", "at.*").mapInArrow(_located(window, shard), "id long, th long, lo int, first long")
+    decided = kept.groupBy("id", "th").agg(F.collect_list(F.struct("lo", "first")).alias("kept"))
+    plan = found.select("id", "th", F.transform("segments", lambda s: F.struct(s.lo.alias("lo"), s.n.alias("n"))).alias("segments")).join(decided.hint("merge"), ["id", "th"], "left")
+    own = f"doc_id {lean.schema['own'].dataType.simpleString()}"
+    return lean.join(materialise(plan, "decisions").hint("merge"), ["id", "th"], "left").select("own", "text", "segments", "kept").mapInArrow(_cut(window), f"{own}, text string, n_words long, n_removed long")
