@@ -40,6 +40,18 @@ RX = {n: _rx(n) for n in ("PRIVATE_KEY", "JWT", "EMAIL", "CARD", "UUID", "IPV4",
 VENDORS = [re.compile(p) for p in tables.VENDOR_TOKENS]
 
 
+#: What each family can't do without. A text that lacks it isn't searched; each is a literal, or a pattern that begins
+#: with one, so that looking for it costs next to nothing.
+VENDOR_MARKS = (("AKIA", "ASIA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), ("github_pat_",), ("glpat-",), ("k_live_", "k_test_"), ("sk-",), ("xox",), ("AIza",), ("ya29.",))
+_DIGIT, _UUID_DASHES, _DOT_DIGIT, _COLONS, _DOT_LETTER, _SLASH_DIGITS, _KEYED = (
+    re.compile(p) for p in (r"\d", r"-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-", r"\.\d", r":[0-9A-Fa-f]{0,4}:", r"\.[A-Za-z]", r"/\d\d", r'"\s*:')
+)
+
+
+def _has_digit(text: str) -> bool:
+    return any(d in text for d in "0123456789") or (not text.isascii() and _DIGIT.search(text) is not None)
+
+
 def strict_base64(value: str) -> bytes | None:
     try:
         return base64.b64decode(value, validate=True)
@@ -139,37 +151,48 @@ class Engine:
             yield hit.start, hit.end, hit.kind, shown
 
     def _patterns(self, text: str):
-        for m in RX["PRIVATE_KEY"].finditer(text):
-            yield *m.span(), "private_key", f"-----BEGIN {m[1]}PRIVATE KEY-----[REDACTED]-----END {m[1]}PRIVATE KEY-----"
-        for m in RX["JWT"].finditer(text):
-            yield *m.span(), "token", None
-        for vendor in VENDORS:
-            for m in vendor.finditer(text):
-                yield *m.span(), "secret", self.mask_secret(m[0])
-        for m in RX["URL_CREDENTIALS"].finditer(text):
-            yield *m.span(1), "credential", self.mask_pii(m[1])
-            yield *m.span(2), "credential", self.mask_secret(m[2])
-        for m in RX["EMAIL"].finditer(text):
-            yield *m.span(), "email", self.mask_email(m[0])
-        for m in RX["CARD"].finditer(text):
-            if scalars.luhn_valid(m[0]):
-                yield *m.span(), "card", scalars.card(m[0])
-        for m in RX["UUID"].finditer(text):
-            yield *m.span(), "uuid", self.mask_id(m[0])
-        for m in RX["IPV4"].finditer(text):
-            a, b = m.span()
-            version = text[a - 1 : a] == "." or text[b : b + 1] == "." or (text[a - 1 : a] == "/" and text[max(a - 2, 0) : a] != "//")
-            if not version and m[0] not in ("0.0.0.0", "127.0.0.1", "255.255.255.255"):
-                yield a, b, "ip", scalars.ipv4(m[0])
-        for m in RX["IPV6"].finditer(text):
-            if self._ipv6(text, *m.span()):
-                yield *m.span(), "ip", scalars.ipv6(m[0])
-        for m in RX["DOMAIN"].finditer(text):
-            if m[1].lower() in self.tlds and not _dotted_on(text, m.end()):
-                yield *m.span(), "host", self.mask_host(m[0])
-        for m in RX["PATH_ID"].finditer(text):
-            if not (text[: m.start()][-1:].isdigit() if m.start() else False) and not _dotted_on(text, m.end()):
-                yield *m.span(1), "id", self.mask_id(m[1])
+        if "-----BEGIN " in text:
+            for m in RX["PRIVATE_KEY"].finditer(text):
+                yield *m.span(), "private_key", f"-----BEGIN {m[1]}PRIVATE KEY-----[REDACTED]-----END {m[1]}PRIVATE KEY-----"
+        if "eyJ" in text:
+            for m in RX["JWT"].finditer(text):
+                yield *m.span(), "token", None
+        for marks, vendor in zip(VENDOR_MARKS, VENDORS, strict=True):
+            if any(mark in text for mark in marks):
+                for m in vendor.finditer(text):
+                    yield *m.span(), "secret", self.mask_secret(m[0])
+        if "@" in text:
+            if "://" in text:
+                for m in RX["URL_CREDENTIALS"].finditer(text):
+                    yield *m.span(1), "credential", self.mask_pii(m[1])
+                    yield *m.span(2), "credential", self.mask_secret(m[2])
+            for m in RX["EMAIL"].finditer(text):
+                yield *m.span(), "email", self.mask_email(m[0])
+        if _has_digit(text):
+            for m in RX["CARD"].finditer(text):
+                if scalars.luhn_valid(m[0]):
+                    yield *m.span(), "card", scalars.card(m[0])
+        if _UUID_DASHES.search(text):
+            for m in RX["UUID"].finditer(text):
+                yield *m.span(), "uuid", self.mask_id(m[0])
+        if _DOT_DIGIT.search(text):
+            for m in RX["IPV4"].finditer(text):
+                a, b = m.span()
+                version = text[a - 1 : a] == "." or text[b : b + 1] == "." or (text[a - 1 : a] == "/" and text[max(a - 2, 0) : a] != "//")
+                if not version and m[0] not in ("0.0.0.0", "127.0.0.1", "255.255.255.255"):
+                    yield a, b, "ip", scalars.ipv4(m[0])
+        if _COLONS.search(text):
+            for m in RX["IPV6"].finditer(text):
+                if self._ipv6(text, *m.span()):
+                    yield *m.span(), "ip", scalars.ipv6(m[0])
+        if _DOT_LETTER.search(text):
+            for m in RX["DOMAIN"].finditer(text):
+                if m[1].lower() in self.tlds and not _dotted_on(text, m.end()):
+                    yield *m.span(), "host", self.mask_host(m[0])
+        if _SLASH_DIGITS.search(text):
+            for m in RX["PATH_ID"].finditer(text):
+                if not (m.start() and text[m.start() - 1].isdigit()) and not _dotted_on(text, m.end()):
+                    yield *m.span(1), "id", self.mask_id(m[1])
 
     @staticmethod
     def _ipv6(text: str, a: int, b: int) -> bool:
@@ -185,21 +208,24 @@ class Engine:
             return False
 
     def _headers(self, text: str):
-        for m in RX["HEADER"].finditer(text):
-            if m[2].lower() not in self.headers:
-                continue
-            start = m.end()
-            end = text.find("\n", start)
-            end = len(text) if end < 0 else end
-            if m[1] and (close := text.find(m[1], start, end)) >= 0:
-                end = close
-            yield from self._header_value(m[2].lower(), text, start, start + len(text[start:end].rstrip()))
-        for m in RX["CURL_USER"].finditer(text):
-            a, b = m.span(m.lastindex)
-            user, colon, word = text[a:b].partition(":")
-            yield a, b, "credential", f"{self.mask_pii(user)}:{self.mask_secret(word)}" if colon else self.mask_pii(user)
-        for m in RX["CURL_COOKIE"].finditer(text):
-            yield from self._cookies(text, *m.span(m.lastindex), False)
+        if ":" in text and any(h in low for low in [text.lower()] for h in self.headers):
+            for m in RX["HEADER"].finditer(text):
+                if m[2].lower() not in self.headers:
+                    continue
+                start = m.end()
+                end = text.find("\n", start)
+                end = len(text) if end < 0 else end
+                if m[1] and (close := text.find(m[1], start, end)) >= 0:
+                    end = close
+                yield from self._header_value(m[2].lower(), text, start, start + len(text[start:end].rstrip()))
+        if "-u" in text:  # --user too
+            for m in RX["CURL_USER"].finditer(text):
+                a, b = m.span(m.lastindex)
+                user, colon, word = text[a:b].partition(":")
+                yield a, b, "credential", f"{self.mask_pii(user)}:{self.mask_secret(word)}" if colon else self.mask_pii(user)
+        if "-b" in text or "--cookie" in text:
+            for m in RX["CURL_COOKIE"].finditer(text):
+                yield from self._cookies(text, *m.span(m.lastindex), False)
 
     def _header_value(self, name: str, text: str, start: int, end: int):
         if start >= end:
@@ -276,6 +302,13 @@ class Engine:
             yield start, end, "token" if kind == "secret" else kind, mask(text[start:end])
 
     def _pairs(self, text: str):
+        if _KEYED.search(text):
+            yield from self._json_pairs(text)
+        if "=" in text:
+            for m in RX["PARAM"].finditer(text):
+                yield from self._keyed(text, m[1], True, *m.span(2), headers=False)
+
+    def _json_pairs(self, text: str):
         for m in RX["JSON_STRING_PAIR"].finditer(text):
             end = string_end(text, m.end(), m[2].startswith("\\"))
             if end is None:
@@ -296,8 +329,6 @@ class Engine:
                 yield start, end, "token", None
             else:
                 yield from self._keyed(text, m[1], True, start, end)
-        for m in RX["PARAM"].finditer(text):
-            yield from self._keyed(text, m[1], True, *m.span(2), headers=False)
 
     # tokens that decode
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .redact import findings
 
-MAX_REPLACEMENTS = 20_000
+MAX_REPLACEMENTS, MAX_CANDIDATES = 20_000, 50
 MAGIC = b"RDV1"
 PARTS = "array<struct<kind:string,text:string,original:string,replacement:string,candidates:array<string>>>"
 
@@ -48,23 +48,44 @@ def prune(vault: DataFrame, most: int = MAX_REPLACEMENTS) -> DataFrame:
     return vault.join(ranked.select("profile", "replacement"), ["profile", "replacement"], "left_semi")
 
 
-def candidates(vault: DataFrame) -> DataFrame:
-    """replacement and its originals: most used first, then last used, then smallest."""
-    order = F.struct((-F.col("uses")).alias("u"), (-F.col("last_used")).alias("l"), "value")
-    return vault.groupBy("profile", "replacement").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x.value).alias("originals"))
+def candidates(vault: DataFrame, most: int = MAX_CANDIDATES) -> DataFrame:
+    """profile, replacement, n (of its originals) and the first ``most`` of them: most used first, then last used, then smallest.
+
+    Originals are ranked and cut, in part before the shuffle, before any are gathered.
+    """
+    total = vault.groupBy("profile", "replacement").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("profile", "replacement").orderBy(F.desc("uses"), F.desc("last_used"), "value")
+    first = vault.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
+    listed = first.groupBy("profile", "replacement").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x.value).alias("originals"))
+    return total.join(listed, ["profile", "replacement"])
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern for the longest of ``words`` at a place: common beginnings are written once."""
+    out, first = [], {}
+    for w in words:
+        first.setdefault(w[:1], []).append(w[1:])
+    ends = "" in first
+    for c, rest in sorted((c, rest) for c, rest in first.items() if c):
+        while len(rest) == 1 or all(r[:1] == rest[0][:1] != "" for r in rest):  # one way on: no branch
+            if not rest[0]:
+                break
+            c, rest = c + rest[0][0], [r[1:] for r in rest]
+        out.append(re.escape(c) + (_trie(rest) if any(rest) else ""))
+    return f"(?:{'|'.join(out)}){'?' if ends else ''}" if out else ""
 
 
 def restore(df: DataFrame, vault: DataFrame, text: str = "text", most: int = MAX_REPLACEMENTS) -> DataFrame:
     """``df`` with parts, restored (text), n_restored and n_ambiguous, from the vault of one profile.
 
     Replacements are found leftmost-longest. One original is put back; several are
-    reported and the text stays. What is broadcast is bounded by ``most``
-    replacements, as pruning leaves them.
+    reported (the first ``MAX_CANDIDATES``) and the text stays. What is broadcast is
+    bounded by ``most`` replacements, as pruning leaves them.
     """
-    rows = candidates(prune(vault, most)).select("replacement", "originals").toArrow().to_pylist()
+    rows = candidates(prune(vault, most)).select("replacement", "n", "originals").limit(most + 1).toArrow().to_pylist()
     if len(rows) > most:
         raise VaultError("restore takes the vault of one profile")
-    table = {r["replacement"]: r["originals"] for r in rows if r["replacement"]}
+    table = {r["replacement"]: (r["n"], r["originals"]) for r in rows if r["replacement"]}
     handle = df.sparkSession.sparkContext.broadcast(table)
     base = df.drop("parts")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), f"parts {PARTS}"])
@@ -75,7 +96,7 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "text", most: int = MAX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
-        search = re.compile("|".join(re.escape(k) for k in sorted(known, key=len, reverse=True))) if known else None
+        search = re.compile(_trie(sorted(known))) if known else None
         for batch in batches:
             out = []
             for value in batch.column(text).to_pylist():
@@ -83,8 +104,8 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "text", most: int = MAX
                 for m in search.finditer(value or "") if search else ():
                     if m.start() > at:
                         parts.append(part("plain", value[at : m.start()]))
-                    own = known[m[0]]
-                    parts.append(part("restored", own[0], own[0], m[0]) if len(own) == 1 else part("ambiguous", m[0], None, m[0], own))
+                    n, own = known[m[0]]
+                    parts.append(part("restored", own[0], own[0], m[0]) if n == 1 else part("ambiguous", m[0], None, m[0], own))
                     at = m.end()
                 if value is not None and at < len(value):
                     parts.append(part("plain", value[at:]))
