@@ -2,65 +2,13 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
+from ..scratch import discard, materialise, shared_dir
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or the context's own.
-
-    Only where neither is set and all runs on one machine (tests) a temporary folder is made.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        master = spark.sparkContext.master
-        if not re.fullmatch(r"local(\[.*\])?", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veilspark-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current.rstrip("/")
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    The written table cuts the lineage and survives lost executors, and a plan
-    that reads it twice computes it once. The shuffle files behind it are of no
-    more use then, and Spark is told to remove them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/veilspark/{label}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def discard(*written: DataFrame) -> None:
-    """Removes tables of ``materialise`` that nothing reads any more."""
-    for df in written:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["components", "discard", "materialise", "shared_dir", "table", "text_hash", "whole_id"]
 
 
 def text_hash(text: str) -> Column:
