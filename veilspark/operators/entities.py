@@ -134,3 +134,14 @@ def serve(lines: Iterable[str], load: Callable[[], Scorer]) -> Iterator[str]:
             yield json.dumps({"entities": [e.__dict__ for e in got]})
         except (ValueError, KeyError, TypeError) as e:
             yield json.dumps({"error": str(e)})
+
+
+def served(df: DataFrame, load: Callable[[], Scorer], request: str = "request") -> DataFrame:
+    """Rows ``response``: what ``serve`` says to each request; the model is loaded once a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked = (line or "" for batch in batches for line in batch.column(0).to_pylist())
+        for response in serve(asked, load):
+            yield pa.RecordBatch.from_arrays([pa.array([response])], names=["response"])
+
+    return df.select(request).mapInArrow(run, "response string")

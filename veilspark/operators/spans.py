@@ -7,6 +7,8 @@ are characters, from 0; ``byte_offset`` turns one into UTF-8 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ def scan(text: Column | str, pattern: str, group: int = 0, before: str = "", aft
     """All matches: array of start, end, match.
 
     With ``group``, ``before`` and ``after`` are what the pattern matches around it,
-    as replacement text (literals and group references).
+    as replacement text (literals and group references). U+0001 and U+0002 in the text
+    are taken as U+0003, also in a match.
     """
     t = F.col(text) if isinstance(text, str) else text
     clean = F.translate(t, _OPEN + _CLOSE, "\u0003\u0003")
@@ -51,6 +54,12 @@ def byte_offset(text: Column | str, at: Column) -> Column:
     return F.octet_length(F.left(t, at))
 
 
+def utf16_offset(text: Column | str, at: Column) -> Column:
+    """The character offset ``at`` in UTF-16 units, as JavaScript and Java count."""
+    t = F.col(text) if isinstance(text, str) else text
+    return (F.octet_length(F.encode(F.left(t, at), "UTF-16BE")) / 2).cast("int")
+
+
 def priority(category: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, tables.CATEGORIES)), category)
 
@@ -95,3 +104,33 @@ def compose(parts: Column | str, revealed: Column) -> Column:
     """Segments as a text, with the originals where ``revealed`` (an array of indices) says so."""
     p = F.col(parts) if isinstance(parts, str) else parts
     return F.array_join(F.transform(p, lambda s, k: F.when(F.array_contains(revealed, k), s.original).otherwise(s.text)), "")
+
+
+def merged(findings: Column | str, more: Column | str) -> Column:
+    """``findings`` with those of ``more`` that lie in plain text; of overlapping ones the later (then the longer) is taken."""
+    f = F.col(findings) if isinstance(findings, str) else findings
+    m = F.col(more) if isinstance(more, str) else more
+    last_first = F.reverse(F.array_sort(F.transform(m, lambda x: F.struct(x.start.alias("start"), x.end.alias("end"), x.category.alias("category"), x.replacement.alias("replacement")))))
+    taken = F.aggregate(last_first, f, lambda out, x: F.when((x.end <= x.start) | F.exists(out, lambda y: (y.start < x.end) & (x.start < y.end)), out).otherwise(F.concat(out, F.array(x))))
+    return F.array_sort(taken)
+
+
+def masked_by_hand(parts: Column | str, index: Column, start: Column, end: Column, mask: Callable[[Column], Column]) -> Column:
+    """Segments with characters ``start`` to ``end`` of plain segment ``index`` masked, outer blanks left out; a blank selection changes nothing."""
+    p = F.col(parts) if isinstance(parts, str) else parts
+
+    def split(s: Column) -> Column:
+        chosen = F.substring(s.text, start + 1, end - start)
+        lead = F.char_length(F.regexp_extract(chosen, r"(?U)^\s*", 0))
+        own = F.regexp_replace(chosen, r"(?U)^\s+|\s+$", "")
+        at = start + lead
+        stop = at + F.char_length(own)
+
+        def part(kind: str, text: Column, category: Column, original: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), text.alias("text"), category.cast("string").alias("category"), original.alias("original"))
+
+        before, after = F.substring(s.text, F.lit(1), at), F.substring(s.text, stop + 1, F.char_length(s.text) - stop)
+        pieces = F.array(part("plain", before, F.lit(None), before), part("masked", mask(own), F.lit("custom"), own), part("plain", after, F.lit(None), after))
+        return F.when((s.kind == "plain") & (own != ""), F.filter(pieces, lambda x: (x.kind == "masked") | (x.text != ""))).otherwise(F.array(s))
+
+    return F.flatten(F.transform(p, lambda s, k: F.when(k == index, split(s)).otherwise(F.array(s))))

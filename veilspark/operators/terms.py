@@ -6,6 +6,9 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from .. import tables
 from ..functions import scalars
 from ..policy import Policy
@@ -38,6 +41,11 @@ class Hit:
     replacement: str | None = None
 
 
+def listed(terms: DataFrame, wanted: str, column: str = "value") -> DataFrame:
+    """The rows of a list of terms that hold ``wanted``, whatever the case."""
+    return terms.where(F.contains(F.lower(column), F.lit(wanted.lower())))
+
+
 class Terms:
     def __init__(self, policy: Policy):
         self.by_pattern: dict[str, tuple[str, str | None]] = {}

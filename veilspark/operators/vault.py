@@ -75,6 +75,14 @@ def _trie(words: list[str]) -> str:
     return f"(?:{'|'.join(out)}){'?' if ends else ''}" if out else ""
 
 
+def pattern(words: list[str]) -> re.Pattern:
+    """Finds the longest of ``words`` at the first place where there is one."""
+    try:
+        return re.compile(_trie(sorted(words)))
+    except RecursionError:  # words that begin with one another, hundreds deep
+        return re.compile("|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)))
+
+
 def restore(df: DataFrame, vault: DataFrame, text: str = "text", most: int = MAX_REPLACEMENTS) -> DataFrame:
     """``df`` with parts, restored (text), n_restored and n_ambiguous, from the vault of one profile.
 
@@ -96,7 +104,7 @@ def restore(df: DataFrame, vault: DataFrame, text: str = "text", most: int = MAX
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = handle.value
-        search = re.compile(_trie(sorted(known))) if known else None
+        search = pattern(list(known)) if known else None
         for batch in batches:
             out = []
             for value in batch.column(text).to_pylist():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
@@ -11,6 +11,7 @@ from ..functions.formats import detect_format
 from ..operators import entities, sitemap, spans, vault
 from ..operators.redact import findings, most_frequent, redact, summary
 from ..policy import Policy, Term
+from ..scratch import materialise, shared_dir
 
 QUERIES = {}
 SQL = {}
@@ -91,7 +92,8 @@ def _rows(df: DataFrame, key: str, text: str, found) -> DataFrame:
 
 @query
 def q_email_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(_table(spark, sf_dir, "documents"), "doc_id", "text", spans.scan("text", tables.EMAIL))
+    with_at = _table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@")))
+    rows = _rows(with_at, "doc_id", "text", spans.scan("text", tables.EMAIL))
     return rows.select("doc_id", "start", "end", "match", masks.mask_email("match", KEEP).alias("masked"))
 
 
@@ -100,7 +102,8 @@ SQL["q_email_findings"] = f"""select doc_id, "start", cast("start" + len("match"
 
 @query
 def q_ipv4_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(_table(spark, sf_dir, "documents"), "doc_id", "text", spans.scan("text", tables.IPV4))
+    dotted = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\.\d"))
+    rows = _rows(dotted, "doc_id", "text", spans.scan("text", tables.IPV4))
     before, before2, after = spans.char_before("text", F.col("start")), spans.char_before("text", F.col("start") - 1), spans.char_at("text", F.col("end"))
     ok = (before != ".") & (after != ".") & ((before != "/") | (before2 == "/")) & ~F.col("match").isin("0.0.0.0", "127.0.0.1", "255.255.255.255")
     return rows.where(ok).select("doc_id", "start", "end", "match", masks.ipv4("match").alias("masked"))
@@ -113,7 +116,8 @@ and "match" not in ('0.0.0.0', '127.0.0.1', '255.255.255.255')"""
 
 @query
 def q_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _rows(_table(spark, sf_dir, "documents"), "doc_id", "text", spans.scan("text", tables.CARD))
+    with_digits = _table(spark, sf_dir, "documents").where(F.col("text").rlike(r"\d[ -]?\d"))
+    rows = _rows(with_digits, "doc_id", "text", spans.scan("text", tables.CARD))
     return rows.select("doc_id", "start", "match", masks.luhn_valid("match").alias("valid"), masks.card("match").alias("masked"))
 
 
@@ -170,7 +174,7 @@ _KEYS = ["id", "user_id", "userId", "paid", "newPassword", "token_type", "client
 
 @query
 def q_classify_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    keys = spark.createDataFrame([(k,) for k in _KEYS], "key string")
+    keys = spark.range(1).select(F.explode(F.array(*map(F.lit, _KEYS))).alias("key"))
     return keys.select("key", masks.normalize_key("key").alias("normal"), F.coalesce(masks.classify_key("key"), F.lit("none")).alias("kind"), masks.is_id_key("key").alias("is_id"), masks.slugify("key").alias("slug"), masks.valid_name("key").alias("is_name"))
 
 
@@ -213,7 +217,7 @@ regexp_replace(regexp_replace(lower(c_name), '[^a-z0-9]+', '-', 'g'), '^-+|-+$',
 def q_detect_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = ["GET /a HTTP/1.1\r\nHost: x", "HTTP/1.1 200 OK", "curl -u a:b https://x", 'fetch("x")', '{"log": {"entries": []}}', '<items burpVersion="1"/>', '{"info": {"_postman_id": "1"}}', "  await fetch(1)", "GET nothing"]
     texts = _table(spark, sf_dir, "pages").select(F.col("html").alias("text")).unionByName(_table(spark, sf_dir, "documents").select("text")).unionByName(_table(spark, sf_dir, "events").select(F.col("props").alias("text")))
-    texts = texts.unionByName(spark.createDataFrame([(t,) for t in own], "text string"))
+    texts = texts.unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, own))).alias("text")))
     return texts.groupBy(detect_format("text").alias("format")).agg(F.count("*").alias("n"))
 
 
@@ -255,10 +259,12 @@ SQL["q_summary_by_category"] = f"select category, count(*) n from {_FOUND} where
 
 @query
 def q_most_frequent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return most_frequent(redact(_table(spark, sf_dir, "documents").select("text")))
+    counts = most_frequent(redact(_table(spark, sf_dir, "documents").select("text")))
+    return counts.select("category", "n", (F.monotonically_increasing_id() + 1).alias("position"))
 
 
-SQL["q_most_frequent"] = SQL["q_summary_by_category"]
+_ORDERED = "list_position([" + ", ".join(f"'{c}'" for c in tables.CATEGORIES) + "], category)"
+SQL["q_most_frequent"] = f"select category, n, row_number() over (order by n desc, {_ORDERED}) as \"position\" from ({SQL['q_summary_by_category']})"
 
 
 @query
@@ -295,10 +301,10 @@ def q_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _native(spark, sf_dir).withColumn("parts", spans.segments("text", "kept"))
     revealed = F.sequence(F.lit(0), F.greatest(F.size("parts") - 1, F.lit(0)))
     back = F.array_join(F.transform("parts", lambda s: s.original), "") == F.col("text")
-    return parts.select("doc_id", F.size("parts").alias("n"), F.count_if(F.lit(True)).over(Window.partitionBy("doc_id")).alias("rows"), back.alias("joins_back"), F.md5(spans.compose("parts", revealed)).alias("revealed_md5"))
+    return parts.select("doc_id", F.size("parts").alias("n"), back.alias("joins_back"), F.md5(spans.compose("parts", revealed)).alias("revealed_md5"))
 
 
-SQL["q_segments"] = f"""select doc_id, count_if(i % 2 = 1 or "match" <> '')::int n, 1::bigint as "rows", true joins_back, md5(first(t)) revealed_md5 from {_matches("documents", "doc_id", "text", tables.EMAIL)} group by doc_id"""
+SQL["q_segments"] = f"""select doc_id, count_if(i % 2 = 1 or "match" <> '')::int n, true joins_back, md5(first(t)) revealed_md5 from {_matches("documents", "doc_id", "text", tables.EMAIL)} group by doc_id"""
 
 
 @query
@@ -316,15 +322,16 @@ SQL["q_terms"] = rf"""
 with m as (select doc_id, i, "match" p, case when "start" > 0 then t["start"] else '' end prv, t["start" + len("match") + 1] nxt from {_matches("documents", "doc_id", "lower(text)", "tion[ ._-]the|tionthe|and the|the of|onthe|of")})
 select doc_id, count_if(i % 2 = 1 and starts_with(p, 'tion'))::int n_client, count_if(i % 2 = 1 and p = 'the of')::int n_user, count_if(i % 2 = 1 and p = 'onthe')::int n_host,
   count_if(i % 2 = 1 and (p = 'and the' or (p = 'of' and not regexp_matches(nxt, '[\p{{L}}\p{{N}}]') and not regexp_matches(prv, '[\p{{L}}\p{{N}}]'))))::int n_custom
-from m join documents using (doc_id) where lang = 'en' group by doc_id"""
+from m group by doc_id"""
 
 
 # vault
 
 
 def _vault(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written, as it is read more than once."""
     done = redact(_table(spark, sf_dir, "documents").select("lang", "text"))
-    return vault.record(done, F.col("lang"), F.lit(1_700_000_000))
+    return materialise(vault.record(done, F.col("lang"), F.lit(1_700_000_000)), "vault")
 
 
 _VAULT = f"(select lang as profile, masked as replacement, m as value, count(*) uses, 1700000000::bigint last_used from {_FOUND} join documents using (doc_id) where hit and m <> masked group by 1, 2, 3)"
@@ -341,10 +348,11 @@ SQL["q_vault_record"] = f"select * from {_VAULT}"
 @query
 def q_vault_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = vault.candidates(_vault(spark, sf_dir))
-    return c.select("profile", "replacement", F.size("originals").alias("n"), F.array_join("originals", "|").alias("originals"))
+    return c.select("profile", "replacement", "n", F.array_join("originals", "|").alias("originals"))
 
 
-SQL["q_vault_candidates"] = f"select profile, replacement, count(*)::int n, string_agg(value, '|' order by uses desc, last_used desc, value) originals from {_VAULT} group by 1, 2"
+SQL["q_vault_candidates"] = f"""select profile, replacement, max(n) n, string_agg(value, '|' order by r) originals from
+  (select *, row_number() over (partition by profile, replacement order by uses desc, last_used desc, value) r, count(*) over (partition by profile, replacement) n from {_VAULT}) where r <= {vault.MAX_CANDIDATES} group by 1, 2"""
 
 
 @query
@@ -357,14 +365,26 @@ SQL["q_vault_prune"] = f"select v.* from {_VAULT} v join (select profile, replac
 
 @query
 def q_restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Masked texts with what could be put back; a replacement of several originals stays."""
     done = redact(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    known = vault.record(done, F.lit("all"), F.lit(1))
+    known = materialise(vault.record(done, F.lit("all"), F.lit(1)), "vault")
     back = vault.restore(done.select("doc_id", "text", F.col("output").alias("masked")), known, "masked")
-    return back.where("n_ambiguous = 0 AND n_restored > 0").select("doc_id", (F.col("restored") == F.col("text")).alias("same"))
+    return back.select("doc_id", "n_restored", "n_ambiguous", (F.col("restored") == F.col("text")).alias("same"))
 
 
-SQL["q_restore_roundtrip"] = f"""with f as (select doc_id, masked, m from {_FOUND} where hit and m <> masked), several as (select masked from f group by masked having count(distinct m) > 1)
-select doc_id, true same from f group by doc_id having count_if(masked in (select masked from several)) = 0"""
+SQL["q_restore_roundtrip"] = f"""with f as (select doc_id, masked, m from {_FOUND} where hit and m <> masked), several as (select masked from f group by masked having count(distinct m) > 1),
+n as (select doc_id, count_if(masked not in (select masked from several))::int n_restored, count_if(masked in (select masked from several))::int n_ambiguous from f group by doc_id)
+select doc_id, coalesce(n_restored, 0)::int n_restored, coalesce(n_ambiguous, 0)::int n_ambiguous, coalesce(n_ambiguous, 0) = 0 same from documents left join n using (doc_id)"""
+
+
+@query
+def q_vault_sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vault after encryption and decryption."""
+    key = vault.key_from_hex("ab" * 32)
+    return vault.open_sealed(vault.seal(_vault(spark, sf_dir), key), key)
+
+
+SQL["q_vault_sealed"] = f"select * from {_VAULT}"
 
 
 # comparison of two roles, made from the pages
@@ -378,7 +398,7 @@ def _items(spark: SparkSession, sf_dir: str, role: int | None = None) -> DataFra
     status = F.when(F.col("page_id") % 7 == 0, "403").when(F.col("page_id") % 11 == 0, "x").otherwise("200")
     raw = pages.select(
         F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("host"), F.lit("443").alias("port"), F.regexp_extract("url", "^([a-z]+):", 1).alias("protocol"), F.lit("get").alias("method"), path.alias("path"), status.alias("status"),
-        F.lit("HTML").alias("mimetype"), F.lit("null").alias("extension"), F.lit(b"").alias("request"), F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), "html"), "UTF-8").alias("response"),
+        F.when(F.col("page_id") % 13 == 0, "CSS").otherwise("HTML").alias("mimetype"), F.lit("null").alias("extension"), F.lit(b"").alias("request"), F.encode(F.concat(F.lit("HTTP/1.1 200 OK\r\n\r\n"), "html"), "UTF-8").alias("response"),
     )
     return sitemap.items(raw)
 
@@ -399,18 +419,19 @@ _PATH = f"coalesce(nullif(array_to_string(list_transform(list_transform(string_s
 _CLEAN = f"(case when regexp_matches(q, '^[A-Za-z_][A-Za-z0-9_-]{{0,63}}$') and not starts_with({_stem('q')}, '{{') then q else '{{key}}' end)"
 
 
-def _sql_items(role: int) -> str:
+def _sql_items(role: int | None = None) -> str:
+    side = "" if role is None else f" where page_id % 3 <> {role}"
     return f"""(select regexp_extract(url, '^([a-z]+):', 1) || '://' || lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) || case when starts_with(url, 'https:') then '' else ':443' end origin, {_PATH} as path,
       list_sort(list_distinct(list_transform(list_filter(list_transform(string_split(regexp_extract(p, '\\?(.*)$', 1), '&'), lambda x: x), lambda x: x <> ''), lambda x: {_CLEAN.replace("q,", "split_part(x, '=', 1),").replace(" q ", " split_part(x, '=', 1) ").replace("then q", "then split_part(x, '=', 1)").replace("(q)", "(split_part(x, '=', 1))")}))) query,
-      case when page_id % 7 = 0 then 403 when page_id % 11 = 0 then null else 200 end status, left(html, 90) body, p as concrete,
-      array_to_string(list_filter(string_split_regex(regexp_replace(left(html, 90), '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}|[A-Za-z0-9+/_=-]{{24,}}|[0-9a-fA-F]{{16,}}|[0-9]+', '#', 'g'), '\\s+'), lambda x: x <> ''), ' ') loose
-      from (select *, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)?', 1) p from pages where page_id % 3 <> {role}))"""
+      page_id % 13 = 0 as static, case when page_id % 7 = 0 then 403 when page_id % 11 = 0 then null else 200 end status, html body, p as concrete,
+      array_to_string(list_filter(string_split_regex(regexp_replace(html, '[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}|[A-Za-z0-9+/_=-]{{24,}}|[0-9a-fA-F]{{16,}}|[0-9]+', '#', 'g'), '\\s+'), lambda x: x <> ''), ' ') loose
+      from (select *, regexp_extract(url, '^[a-z]+://[^/]+(/[^#]*)?', 1) p from pages{side}))"""
 
 
-def _sql_stats(role: int) -> str:
+def _sql_stats(role: int | None = None) -> str:
     return f"""(select origin, path, query, count(*) requests, min(strlen(body))::bigint min_size, max(strlen(body))::bigint max_size, list_sort(list(distinct status)) statuses,
       coalesce(list(distinct body) filter (status between 200 and 299), []) exact, coalesce(list(distinct loose) filter (status between 200 and 299), []) loose, coalesce(list(distinct concrete) filter (status between 200 and 299), []) objects
-      from {_sql_items(role)} where status is not null group by 1, 2, 3)"""
+      from {_sql_items(role)} where status is not null and not static group by 1, 2, 3)"""
 
 
 _COMPARE = f"""(select coalesce(h.origin, l.origin) origin, coalesce(h.path, l.path) path, coalesce(h.query, l.query) query, h.requests h_requests, l.requests l_requests,
@@ -428,7 +449,7 @@ def q_template_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of.groupBy("origin", "path", F.array_join("query", "&").alias("query")).agg(F.count("*").alias("n"))
 
 
-SQL["q_template_paths"] = f"select origin, path, array_to_string(query, '&') query, count(*) n from {_sql_items(2)} group by 1, 2, 3"
+SQL["q_template_paths"] = f"select origin, path, array_to_string(query, '&') query, count(*) n from {_sql_items()} group by 1, 2, 3"
 
 
 @query
@@ -437,7 +458,7 @@ def q_endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(sitemap.label().alias("label"), "origin", "requests", "min_size", "max_size", F.array_join(F.transform("statuses", lambda x: x.cast("string")), ", ").alias("statuses"), F.size("exact").alias("n_exact"), F.size("loose").alias("n_loose"))
 
 
-SQL["q_endpoint_stats"] = f"select {_LABEL} as label, origin, requests, min_size, max_size, array_to_string(statuses, ', ') statuses, len(exact)::int n_exact, len(loose)::int n_loose from {_sql_stats(0)}"
+SQL["q_endpoint_stats"] = f"select {_LABEL} as label, origin, requests, min_size, max_size, array_to_string(statuses, ', ') statuses, len(exact)::int n_exact, len(loose)::int n_loose from {_sql_stats()}"
 
 
 @query
@@ -453,7 +474,7 @@ def q_left_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitemap.left_out(_items(spark, sf_dir))
 
 
-SQL["q_left_out"] = f"select count_if(status is null) unrequested, 0::bigint static_items from {_sql_items(0)}"
+SQL["q_left_out"] = f"select count_if(status is null) unrequested, count_if(status is not null and static) static_items from {_sql_items()}"
 
 
 @query
@@ -503,7 +524,7 @@ def _capitals():
 
     def score(words, labels):
         out = np.full((len(words), len(labels), 3), -4.0)
-        out[[w[:1].isupper() for w in words], 0] = 3.0
+        out[[w[:1].isupper() for w in words], 0] = 0.0  # even odds, which add up exactly
         return out
 
     return score
@@ -513,22 +534,26 @@ def _capitals():
 def q_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a stand-in for the model: capitalised words are persons."""
     found = entities.find(_table(spark, sf_dir, "benchmark"), _capitals, ("person", "password"))
-    return found.select("item_id", F.explode("entities").alias("e")).select("item_id", "e.start", "e.end", "e.label", "e.replacement")
+    return found.select("item_id", F.explode("entities").alias("e")).select("item_id", "e.start", "e.end", "e.label", "e.replacement", "e.category", "e.score")
+
+
+_BENCH_WORDS = _matches("benchmark", "item_id", "text", r"[\p{L}\p{N}\p{M}_]+(?:[-_][\p{L}\p{N}\p{M}_]+)*|[^\s]")
+SQL["q_entities"] = f"""select item_id, "start", cast("start" + len("match") as int) "end", 'person' as label, {_keep_head('"match"')} replacement, 'pii' as category, 0.5::double score
+from {_BENCH_WORDS} where i % 2 = 1 and regexp_matches("match", '^\\p{{Lu}}')"""
 
 
 @query
 def q_stream_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The conversations' texts through a stream, to a table that is read back."""
+    """The documents' texts through a stream, to a table that is read back."""
     import uuid
 
     from ..streaming.flows import masked
 
-    schema = _table(spark, sf_dir, "conversations").schema
-    name = f"masked_{uuid.uuid4().hex}"
-    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/conversations.parquet*")
-    masked(stream).writeStream.format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select("conv_id", "turn", "role", F.md5("output").alias("output_md5"))
+    schema = _table(spark, sf_dir, "documents").schema
+    at = f"{shared_dir(spark)}/veilspark/stream-{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet*")
+    masked(stream).writeStream.format("parquet").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("doc_id", "source", F.size("findings").alias("n_findings"), F.md5("output").alias("output_md5"))
 
 
-#: The conversations hold nothing that is masked.
-SQL["q_stream_redact"] = "select conv_id, turn, role, md5(text) output_md5 from conversations"
+SQL["q_stream_redact"] = f"select doc_id, source, n_findings, output_md5 from ({SQL['q_redact_documents']}) join documents using (doc_id)"
