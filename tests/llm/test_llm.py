@@ -226,6 +226,22 @@ def test_mixing(spark):
         for epoch in {r.epoch for r in got}:
             ids = [r.doc_id for r in got if r.epoch == epoch]
             assert len(ids) == len(set(ids))
+        # by brute force: blocks in the order of their position are those of a source until its budget is met, and each before the last is whole
+        for s, w in weights.items():
+            rows_of = sorted({(r.position, r.epoch, r.block) for r in got if r.source == s})
+            size = {k: sum(len(split(r.text)) for r in got if r.source == s and (r.epoch, r.block) == k) for _, *k in rows_of for k in [tuple(k)]}
+            before = 0
+            for position, *k in rows_of:
+                assert math.isclose(position, before / (w * budget), abs_tol=1e-9)
+                before += size[tuple(k)]
+            whole = {}
+            for r in got:
+                if r.source == s:
+                    whole.setdefault(r.block, {}).setdefault(r.epoch, set()).add(r.doc_id)
+            last = (rows_of[-1][1], rows_of[-1][2])
+            for block, by in whole.items():
+                full = [ids for e, ids in by.items() if (e, block) != last]
+                assert all(x == full[0] for x in full)
     assert sorted(map(str, mixing.mix(df).collect())) == sorted(map(str, mixing.mix(df.repartition(5)).collect()))
     assert mixing.mix(df.limit(0)).count() == 0 and mixing.mix(df, budget=0).count() == 0
 
@@ -264,6 +280,9 @@ def test_lattice_sums_all_segmentations():
 
     words = ["alpha", "a", "ÿ", "al€pha", "lal", "x" * 300]
     assert np.allclose(lat.run(pa.array(words[:-1])), [math.log(brute("▁" + w)) for w in words[:-1]])
+    # a distribution over strings: no set of them has more than one
+    short = ["".join(x) for n in range(1, 4) for x in itertools.product("abcdefghijklmnopqrstuvwxyzô0123456789", repeat=n)]
+    assert 0 < np.exp(lat.run(pa.array(short))).sum() < 1
     expect = np.zeros(len(lat.weights))
     assert np.isfinite(lat.run(pa.array(words), expect)).all() and expect.sum() > 0
 
@@ -280,6 +299,23 @@ def test_scores(spark, docs):
         if not held[d]:
             c.update([*split((t or "").translate(LOW)), "\0"])
     n, v = sum(c.values()), len(c)
+    import pyarrow as pa
+
+    counts = Counter(c)
+    del counts["\0"]
+    n1, n2, ends = sum(x == 1 for x in counts.values()), sum(x == 2 for x in counts.values()), c["\0"]
+    d = n1 / (n1 + 2 * n2)
+    left = d * v / n
+    lat = lattice.train_lattice(spark.createDataFrame([(w,) for w in counts], "word string"), VOCABULARY, 4)
+    own = lattice.Lattice(VOCABULARY)
+    every = sorted({w for _, t in docs for w in split((t or "").translate(LOW))})
+    q, g = (dict(zip(every, x.run(pa.array(every)), strict=True)) for x in (lat, own))
+    for r in full:
+        w = split((dict(docs)[r.doc_id] or "").translate(LOW))
+        want = math.log10((ends - d) / n + left * lattice.END) + sum(math.log10(max(c[t] - d, 0) / n + left * (1 - lattice.END) * math.exp(q[t])) for t in w)
+        assert math.isclose(r.score, want, rel_tol=1e-6), (r.score, want)
+        alone = math.log10(lattice.END) + sum(math.log10((1 - lattice.END) * math.exp(g[t])) for t in w)
+        assert math.isclose(r.lattice_score, alone, rel_tol=1e-9) and r.lattice_tokens == sum(c[t] == 0 for t in w)
     for r in full:
         tokens = [*split((dict(docs)[r.doc_id] or "").translate(LOW)), "\0"]
         assert (r.held_out, r.train_tokens, r.n_known) == (held[r.doc_id], n, sum(c[t] > 0 for t in tokens))
@@ -315,6 +351,64 @@ def test_classifiers(spark):
     assert quality.score(docs.limit(0), labels).count() == 0 and quality.score(docs, labels).where("score IS NULL").count() == 0
 
 
+def test_trees_against_a_naive_walk():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(900, 5)).astype(np.float32)
+    y = ((x[:, 0] > 0.2) ^ (x[:, 3] < -0.1)).astype(float)
+    trees = quality.fit(x, y)
+
+    def walk(row):
+        total = trees.base
+        for feature, threshold, value in zip(trees.feature, trees.threshold, trees.value, strict=True):
+            node = 0
+            while node < len(feature):
+                node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+            total += value[node - len(feature)]
+        return total
+
+    assert len(trees.value) == quality.TREES and np.allclose(trees.raw(x[:200]), [walk(r) for r in x[:200]])
+    assert ((trees.score(x) >= 0.5) == (y == 1)).mean() > 0.95
+
+
+def test_chains_learn_from_out_of_fold_rows(monkeypatch):
+    rng = np.random.default_rng(5)
+    n = 400
+    row, bucket = np.repeat(np.arange(n), 6), rng.integers(0, 50, 6 * n)
+    labels = np.column_stack([rng.random(n) < 0.5, rng.random(n) < 0.3]).astype(float)
+    seen, fit = [], toxicity.fit_link
+
+    def watched(r, b, before, y):
+        seen.append((before.copy(), y.copy()))
+        return fit(r, b, before, y)
+
+    monkeypatch.setattr(toxicity, "fit_link", watched)
+    toxicity.fit_chain(row, bucket, labels)
+    # the first model on all rows, one for each fold without it, then the second model
+    assert len(seen) == toxicity.FOLDS + 2 and [len(y) for _, y in seen[1:-1]] == [n - n // toxicity.FOLDS] * toxicity.FOLDS
+    before = seen[-1][0][:, 0]
+    fold = np.arange(n) % toxicity.FOLDS
+    for f in range(toxicity.FOLDS):
+        keep = np.flatnonzero(fold != f)
+        place = np.full(n, -1)
+        place[keep] = np.arange(len(keep))
+        used = place[row] >= 0
+        link = fit(place[row[used]], bucket[used], np.zeros((len(keep), 0)), labels[keep, 0])
+        assert np.allclose(before[fold == f], link.score(row, bucket, np.zeros((n, 0)))[fold == f])
+
+
+def test_samples_are_the_same_each_time(spark):
+    from veilspark.llm import labelled as drawing
+
+    docs = spark.range(3000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) as quality")
+    draw = lambda parts: sorted(r.doc_id for r in drawing.sample(docs.repartition(parts), labels.repartition(parts + 2), ["quality"], most=500).collect())
+    first = draw(3)
+    assert len(first) == 500 and first == draw(7)
+    text_ids = docs.selectExpr("concat('d', doc_id) as doc_id", "text"), labels.selectExpr("concat('d', doc_id) as doc_id", "quality", "quality as toxic")
+    assert quality.score(*text_ids).where("doc_id like 'd%'").count() == 3000
+    assert toxicity.score(*text_ids, ["quality", "toxic"]).where("doc_id like 'd%'").count() == 3000
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
@@ -326,6 +420,24 @@ def test_pipeline_stages(spark, tmp_path):
         docs = spark.read.parquet(str(tmp_path / str(k)))
         assert docs.count() > 0 and (k == 4 or docs.columns == columns), name
     assert {"epoch", "weight"} <= set(docs.columns)
+    rng = random.Random(3)
+    prose = [" ".join(rng.choice(WORDS) + str(rng.randrange(900)) for _ in range(40)) for _ in range(3)]
+    item = spark.read.parquet(f"{d}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, prose[0]), (2, prose[0]), (2, prose[1]), (2, prose[1]), (None, prose[1]), (None, prose[2]), (5, "a b " * 30), (6, None), (7, ""), (8, f"{prose[2]} {prose[0]}\n{item}")]
+    small = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, source string, hit_spans int")
+    texts = lambda df: sorted((r.doc_id or 0, r.text or "") for r in df.collect())
+    stages = [stage for _, stage in corpus_pipeline.STAGES]
+    good = stages[0](spark, small, d)
+    assert texts(good) == sorted((i or 0, t) for i, t in rows if t and i != 5)
+    lines = stages[1](spark, good, d)
+    # equal lines: of rows without an id, which come first, then of the least id; all rows stay
+    assert texts(lines) == sorted([(0, prose[1]), (0, prose[2]), (1, prose[0]), (2, ""), (2, ""), (2, ""), (8, f"{prose[2]} {prose[0]}\n{item}")])
+    near = stages[2](spark, lines, d)
+    assert texts(near) == sorted([(0, prose[1]), (0, prose[2]), (1, prose[0]), (2, ""), (8, f"{prose[2]} {prose[0]}\n{item}")])
+    clean = stages[3](spark, near, d)
+    left = dict(texts(clean))
+    assert left[1] == prose[0] and (8 not in left or item not in left[8])
+    assert sum(len(split(r.text)) for r in stages[4](spark, near.where("doc_id = 1"), d).collect()) == 40
     with_more = spark.createDataFrame([(1, None, "x", 3), (None, "a b " * 30, None, 4), (2, "", "x", 5)], "doc_id long, text string, source string, hit_spans int")
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, with_more, d).collect() is not None, name

@@ -5,7 +5,7 @@ mark U+2581 before it, has the probability of all its segmentations into pieces,
 summed by a forward recursion in log space. A character that no piece holds is a
 piece of its own, priced by its bytes. The scores of the vocabulary are the start
 of expectation maximisation over all distinct training words (``rounds`` times);
-the pieces themselves never change. Word boundaries cut every segmentation, so a
+the pieces themselves never change. ``lattice_score`` has the vocabulary's own scores throughout. Word boundaries cut every segmentation, so a
 text's lattice factors into those of its words, each computed once per word.
 
 The model. P(token) = max(c - d, 0) / N + left * Q(token), with the training
@@ -237,9 +237,10 @@ def train_lattice(words: DataFrame, vocabulary: list[tuple[str, float]], rounds:
 
 
 def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | None = None, text: str = "text", doc_id: str = "doc_id", head: int = 1 << 18, rounds: int = 4) -> DataFrame:
-    """Rows doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_tokens, one a row of ``docs``.
+    """Rows doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score, lattice_tokens, one a row of ``docs``.
 
-    lattice_tokens: tokens that only the lattice accounts for.
+    lattice_score: log10 of the text's marginal under the lattice alone, with the vocabulary's own scores and nothing
+    learnt; lattice_tokens: tokens that only the lattice accounts for.
     """
     spark = docs.sparkSession
     held = held_out(doc_id) if held is None else held
@@ -259,6 +260,7 @@ def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | N
             break
         least, room = r.bin, room - r.v
     lattice = spark.sparkContext.broadcast(train_lattice(counts, vocabulary, rounds))
+    given = spark.sparkContext.broadcast(Lattice(vocabulary))
     log10_base = math.log10(n + ADD * (v + 1))
 
     def token(c: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -267,29 +269,34 @@ def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | N
         with np.errstate(divide="ignore"):
             return np.logaddexp(np.log(seen), math.log(left * (1 - END)) + q) / math.log(10)
 
+    def alone(words: pa.Array) -> np.ndarray:
+        """log10 of words under the lattice with the vocabulary's own scores."""
+        return (math.log(1 - END) + given.value.run(words)) / math.log(10)
+
     def base(c: np.ndarray) -> np.ndarray:
         return np.log10(c + ADD) - log10_base
 
     def priced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column(1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(token(c, lattice.value.run(batch.column(0))))], names=["word", "c", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(token(c, lattice.value.run(batch.column(0)))), pa.array(alone(batch.column(0)))], names=["word", "c", "p", "g"])
 
-    prices = materialise(counts.mapInArrow(priced, "word string, c long, p double"), "word-prices")
-    top = prices.where(octave >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64()), "p": pa.array([], pa.float64())})
+    prices = materialise(counts.mapInArrow(priced, "word string, c long, p double, g double"), "word-prices")
+    top = prices.where(octave >= least).toArrow() if least is not None else pa.table({"word": pa.array([], pa.string()), "c": pa.array([], pa.int64()), "p": pa.array([], pa.float64()), "g": pa.array([], pa.float64())})
     raw, at = parts(top.column("word"))
     h = Words(raw, at).hashes()
     order = np.argsort(h)
-    known = spark.sparkContext.broadcast((h[order], base(top.column("c").to_numpy())[order], top.column("p").to_numpy()[order]))
+    known = spark.sparkContext.broadcast((h[order], base(top.column("c").to_numpy())[order], top.column("p").to_numpy()[order], top.column("g").to_numpy()[order]))
     end_seen = np.array([max(ends - d, 0.0) / max(n, 1) + left * END])
     end_base, end_score = float(base(np.array([ends]))[0]), float(np.log10(end_seen)[0])
-    whole = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, word string, k long"
+    end_lattice = math.log10(END)
+    whole = f"rid long, doc_id {lean.schema['doc_id'].dataType.simpleString()}, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double, word string, k long"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hh, hb, hp = known.value
+        hh, hb, hp, hg = known.value
         for batch in batches:
             rid = batch.column(0).to_numpy(zero_copy_only=False)
-            got = {k: [] for k in ("n", "known", "base", "score")}
+            got = {k: [] for k in ("n", "known", "base", "score", "lattice")}
             tail_row, tail_word, tail_n = [np.zeros(0, np.int64)], [], [np.zeros(0, np.int64)]
             for lo, _, raw, at in pieces(batch.column(2)):
                 w = Words(raw, at, LOWER)
@@ -302,6 +309,7 @@ def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | N
                 got["known"].append(np.bincount(row[ok], minlength=rows) + (ends > 0))
                 got["base"].append(np.bincount(row[ok], hb[where[ok]], rows) + end_base)
                 got["score"].append(np.bincount(row[ok], hp[where[ok]], rows) + end_score)
+                got["lattice"].append(np.bincount(row[ok], hg[where[ok]], rows) + end_lattice)
                 rest = np.flatnonzero(~ok)
                 if len(rest):
                     order = rest[np.lexsort((own[rest], row[rest]))]
@@ -314,12 +322,12 @@ def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | N
             n_rows, tr = batch.num_rows, np.concatenate(tail_row)
             col = {k: np.concatenate([np.zeros(0), *x]) for k, x in got.items()}
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1).cast(pa.int64()), batch.column(3), pa.array(col["n"].astype(np.int64)), pa.array(col["known"].astype(np.int64)), pa.array(col["base"]), pa.array(col["score"]), pa.nulls(n_rows, pa.string()), pa.nulls(n_rows, pa.int64())],
+                [batch.column(0), batch.column(1), batch.column(3), pa.array(col["n"].astype(np.int64)), pa.array(col["known"].astype(np.int64)), pa.array(col["base"]), pa.array(col["score"]), pa.array(col["lattice"]), pa.nulls(n_rows, pa.string()), pa.nulls(n_rows, pa.int64())],
                 names=[x.split()[0] for x in whole.split(", ")],
             )
             if len(tr):
                 words = pa.chunked_array(tail_word, pa.string()).combine_chunks()
-                none = [pa.nulls(len(tr), t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                none = [pa.nulls(len(tr), t) for t in (batch.column(1).type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array(rid[tr]), *none, words, pa.array(np.concatenate(tail_n))], names=[x.split()[0] for x in whole.split(", ")])
 
     scanned = materialise(lean.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "held_out").mapInArrow(scan, whole), "token-scores")
@@ -328,16 +336,17 @@ def score(docs: DataFrame, vocabulary: list[tuple[str, float]], held: Column | N
     def missing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = batch.column(3).fill_null(0).to_numpy(zero_copy_only=False)
-            p = batch.column(4).fill_null(0.0).to_numpy(zero_copy_only=False).copy()
+            p, g = (batch.column(i).fill_null(0.0).to_numpy(zero_copy_only=False).copy() for i in (4, 5))
             new = np.flatnonzero(batch.column(4).is_null().to_numpy(zero_copy_only=False))
             if len(new):
                 coded = batch.column(0).take(pa.array(new)).dictionary_encode()
-                p[new] = token(np.zeros(len(coded.dictionary)), lattice.value.run(coded.dictionary))[coded.indices.to_numpy()]
+                at = coded.indices.to_numpy()
+                p[new], g[new] = token(np.zeros(len(coded.dictionary)), lattice.value.run(coded.dictionary))[at], alone(coded.dictionary)[at]
             k = batch.column(2).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(k * (c > 0)), pa.array(k * base(c)), pa.array(k * p), pa.array(k * (c == 0))], names=["rid", "n_known", "base_score", "score", "lattice_tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(k * (c > 0)), pa.array(k * base(c)), pa.array(k * p), pa.array(k * g), pa.array(k * (c == 0))], names=["rid", "n_known", "base_score", "score", "lattice_score", "lattice_tokens"])
 
-    fields = ("n_known", "base_score", "score", "lattice_tokens")
-    summed = tail.select("word", "rid", "k", "c", "p").mapInArrow(missing, "rid long, n_known long, base_score double, score double, lattice_tokens long").groupBy("rid").agg(*(F.sum(x).alias(f"t_{x}") for x in fields))
+    fields = ("n_known", "base_score", "score", "lattice_score", "lattice_tokens")
+    summed = tail.select("word", "rid", "k", "c", "p", "g").mapInArrow(missing, "rid long, n_known long, base_score double, score double, lattice_score double, lattice_tokens long").groupBy("rid").agg(*(F.sum(x).alias(f"t_{x}") for x in fields))
     rows = scanned.where("word is null").drop("word", "k").withColumn("lattice_tokens", F.lit(0).cast("long"))
     return rows.join(summed, "rid", "left").select(
         "doc_id", "held_out", "n_tokens", F.lit(n).cast("long").alias("train_tokens"), *((F.col(x) + F.coalesce(f"t_{x}", F.lit(0))).alias(x) for x in fields)

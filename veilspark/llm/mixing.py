@@ -6,20 +6,22 @@ normalised. The exponent is bisected until the weights' entropy (bits) meets
 budget. Each pass over the sources evaluates the next five levels of the
 bisection at once; nothing is collected but the sums of 31 exponents.
 
-Realisation. A source's documents are dealt into blocks by a hash of their id. An
+Realisation. A source's documents are dealt into blocks by a hash of their id and text. An
 epoch is a seeded permutation of the blocks. Whole epochs are taken while the
 source's budget lasts, then blocks of one more epoch, and of the block in which
 the budget ends, documents in hash order until it is met. A row's ``position``
 (0 to 1) interleaves the sources in proportion: sorting by it gives the mixture.
 
 Scale. Shares are combined before their shuffle. Blocks are of bounded tokens, so
-a hot source is many blocks; only blocks (not documents) are summed in a source's
-order, and documents only within the one block in which a budget ends.
+a hot source is many blocks. Blocks (not documents) are summed in a source's order, in
+two levels: ranges of the order's hash first, of which a source has ``RANGES`` an epoch,
+then within a range. Documents are summed only within the one block in which a budget ends.
 
 Defined cases: null sources are one source, named null; null text has no tokens;
 sources without tokens have no weight and are left out, as are documents without
 tokens; an empty table gives an empty mixture; a budget of zero too; repeated rows
-are documents of their own; a target beyond what exponents of 0 to ``MOST`` (1 for
+are documents of their own, and of rows with one id the lesser hash of the text comes first
+(rows equal in both can't be told apart, so it is no matter which is cut); a target beyond what exponents of 0 to ``MOST`` (1 for
 repeats) reach gives the nearest of them. Input columns named like an output are replaced.
 """
 
@@ -28,9 +30,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, text_hash
 
 MOST, LEVELS, ROUNDS = 4.0, 5, 8
+#: Ranges of the hash that orders the blocks of an epoch, a power of two.
+RANGES = 1024
 #: Sources up to this many are broadcast to the documents; more are joined.
 FEW = 10_000
 OUTPUT = ("epoch", "block", "position", "weight")
@@ -67,7 +71,7 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     """
     own = docs.drop(*OUTPUT)
     named = own.where(F.col(text).rlike(r"[^\x20\x09-\x0D]")).withColumn("__s", F.coalesce(F.col(source).cast("string"), F.lit("\0")))
-    dealt = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"))
+    dealt = F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text))
     # tokens are counted once, into a table without texts
     counted = materialise(named.select("__s", tokens(text).alias("__n"), dealt.alias("__h")), "token-counts")
     sized = counted.groupBy("__s").agg(F.sum("__n").alias("total"))
@@ -86,11 +90,16 @@ def mix(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", source: str
     blocks = counted.join(small, "__s").withColumn("block", F.pmod("__h", F.col("blocks")))
     blocks = blocks.groupBy("__s", "block").agg(F.sum("__n").alias("n")).join(small, "__s")
     each = blocks.select("__s", "block", "n", "total", "quota", "weight", "full", F.explode(F.sequence(F.lit(0), F.col("full"))).alias("epoch"))
-    order = Window.partitionBy("__s").orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", "__s", "block"), "block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    taken = each.withColumn("before", F.sum("n").over(order) - F.col("n")).where(F.col("before") < F.col("quota") - 1e-6)
+    each = each.withColumn("__o", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "epoch", "__s", "block"), 1)).withColumn("__r", F.shiftright("__o", 63 - RANGES.bit_length() + 1))
+    ranges = each.groupBy("__s", "epoch", "__r").agg(F.sum("n").alias("own"))
+    so_far = Window.partitionBy("__s").orderBy("epoch", "__r").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select("__s", "epoch", "__r", F.coalesce(F.sum("own").over(so_far), F.lit(0)).alias("offset"))
+    order = Window.partitionBy("__s", "epoch", "__r").orderBy("__o", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placed_blocks = each.join(ranges, ["__s", "epoch", "__r"]).withColumn("before", F.col("offset") + F.coalesce(F.sum("n").over(order), F.lit(0)))
+    taken = placed_blocks.where(F.col("before") < F.col("quota") - 1e-6)
     taken = materialise(taken.select("__s", "block", "epoch", "weight", (F.col("before") / F.col("quota")).alias("position"), (F.col("quota") - F.col("before")).alias("room"), (F.col("before") + F.col("n") > F.col("quota") + 1e-6).alias("part")), "taken-blocks")
     rows = placed.join(taken, ["__s", "block"])
-    within = Window.partitionBy("__s", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", F.col(doc_id).cast("string")), doc_id).rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("__s", "block", "epoch").orderBy(F.xxhash64(F.lit(seed), "epoch", F.col(doc_id).cast("string")), doc_id, text_hash(text)).rowsBetween(Window.unboundedPreceding, -1)
     ended = placed.join(taken.where("part"), ["__s", "block"]).withColumn("__n", tokens(text))
     cut = ended.withColumn("__b", F.coalesce(F.sum("__n").over(within), F.lit(0))).where(F.col("__b") < F.col("room"))
     both = rows.where(~F.col("part")).unionByName(cut.drop("__b", "__n"))

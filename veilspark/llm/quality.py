@@ -132,13 +132,14 @@ def _features(batch: pa.RecordBatch, text: str) -> np.ndarray:
     return np.concatenate([np.zeros((0, len(_MASKS) + 11), np.float32), *(features(raw, at) for _, _, raw, at in pieces(batch.column(text)))])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", **more) -> Trees:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", doc_id: str = "doc_id", **more) -> Trees:
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _features(batch, "text")
-            yield pa.RecordBatch.from_arrays([pa.array([*map(bytes, x)], pa.binary()), batch.column(label), batch.column("doc_id").cast(pa.int64())], names=["x", "y", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array([*map(bytes, x)], pa.binary()), batch.column(label), batch.column("doc_id")], names=["x", "y", "doc_id"])
 
-    rows = labelled.sample(docs, labels, [label], **more).mapInArrow(measured, "x binary, y double, doc_id long").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    kind = docs.schema[doc_id].dataType.simpleString()
+    rows = labelled.sample(docs, labels, [label], doc_id=doc_id, **more).mapInArrow(measured, f"x binary, y double, doc_id {kind}").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(rows.num_rows, len(_MASKS) + 11)
     return fit(x, rows.column("y").to_numpy())
 
@@ -153,4 +154,4 @@ def score(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.float64)), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     lean = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 3).alias("held_out"), F.col(text).alias("text"))
-    return lean.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return lean.mapInArrow(run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out boolean, score double, predicted int")

@@ -115,7 +115,8 @@ _CONTROL = "<|im_end|><|im_start|>assistant ok"
 @query
 def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    own = spark.createDataFrame([(-1, 0, "user", _CONTROL), (-1, 1, "assistant", _CONTROL)], "conv_id long, turn long, role string, text string")
+    two = F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(_CONTROL).alias("text")) for k, role in enumerate(("user", "assistant"))))
+    own = spark.range(1).select(F.inline(two))
     nodes = replytrees.linear(rows.unionByName(own), "conv_id", ["turn", "role", "text"])
     made = replytrees.conversations(nodes)
     read = made.withColumn("turns", replytrees.parsed(F.col("formatted"))).withColumn("loss", replytrees.loss_text(F.col("formatted"), F.col("loss_spans")))

@@ -112,17 +112,21 @@ def run_chain(chain: list[Link], row: np.ndarray, bucket: np.ndarray, n: int) ->
     return before
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], **more) -> list[Link]:
+def _kind(docs: DataFrame, doc_id: str) -> str:
+    return docs.schema[doc_id].dataType.simpleString()
+
+
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], doc_id: str = "doc_id", **more) -> list[Link]:
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             words = []
             for lo, hi, raw, at in pieces(batch.column("text")):
                 row, bucket = buckets(raw, at)
                 words += np.split(bucket.astype(np.int32), np.searchsorted(row, np.arange(1, hi - lo)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array([x.tobytes() for x in words], pa.binary()), *(batch.column(c) for c in categories)], names=["doc_id", "words", *categories])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in words], pa.binary()), *(batch.column(c) for c in categories)], names=["doc_id", "words", *categories])
 
-    sampled = labelled.sample(docs, labels, categories, **more)
-    rows = sampled.mapInArrow(held, ", ".join(["doc_id long", "words binary", *(f"`{c}` double" for c in categories)])).toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    sampled = labelled.sample(docs, labels, categories, doc_id=doc_id, **more)
+    rows = sampled.mapInArrow(held, ", ".join([f"doc_id {_kind(docs, doc_id)}", "words binary", *(f"`{c}` double" for c in categories)])).toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
     words = [np.frombuffer(x, np.int32) for x in rows.column("words").to_pylist()]
     row = np.repeat(np.arange(len(words)), [len(x) for x in words]) if words else np.zeros(0, np.int64)
     bucket = np.concatenate([np.zeros(0, np.int32), *words]).astype(np.int64)
@@ -141,4 +145,4 @@ def score(docs: DataFrame, labels: DataFrame, categories: list[str], text: str =
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(p[:, j]) for j in range(p.shape[1]))], names=["doc_id", "held_out", *(f"p_{c}" for c in categories)])
 
     lean = docs.select(F.col(doc_id).alias("doc_id"), held_out(doc_id, 3).alias("held_out"), F.col(text).alias("text"))
-    return lean.mapInArrow(run, ", ".join(["doc_id long", "held_out boolean", *(f"`p_{c}` double" for c in categories)]))
+    return lean.mapInArrow(run, ", ".join([f"doc_id {_kind(docs, doc_id)}", "held_out boolean", *(f"`p_{c}` double" for c in categories)]))
