@@ -154,3 +154,20 @@ def test_policy():
     for bad in ("[masking]\nid_cut = 2.0", "other = 1", "client = 1", "[[terms]]\nreplacement = 'x'", "= 1"):
         with pytest.raises(ConfigError):
             Policy.from_toml(bad)
+
+
+def test_memory_is_in_proportion():
+    """Peak memory of a masked text, as a multiple of the text: at 15 findings a KB, and where there is nothing to find."""
+    import tracemalloc
+
+    from veilspark.operators.detect import Engine
+
+    engine = Engine()
+    dense = "plain words of a log that hold nothing to be masked, some more of them, and then again. " * 6 + '\nX-Api-Key: key{k}zzzz\nCookie: sid=s{k}d9; theme=dark\n{{"email":"ann{k}@corp-mail.com","password":"pw{k}","userId":{k},"ip":"10.1.2.3","fullName":"Ann Bobson"}}\n'
+    for text, most in (("".join(dense.format(k=10_000 + k) for k in range(1000)), 8), ("nothing to be found in this text " * 30_000, 3)):
+        engine.redact(text[:1000])
+        tracemalloc.start()
+        engine.redact(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most * len(text), peak / len(text)

@@ -14,6 +14,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import attrgetter
 
 from .. import tables
 from ..functions import scalars
@@ -24,7 +25,7 @@ from .terms import Terms
 MAX_DEPTH = 3
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, slots=True)
 class Span:
     start: int
     end: int
@@ -395,11 +396,15 @@ def _dotted_on(text: str, end: int) -> bool:
 
 def resolve(spans: list[Span]) -> list[Span]:
     """Disjoint spans: the higher priority first, then the longer, the earlier, the smaller replacement."""
+    # stable sorts, the last one counts most: keys of four fields would take more memory than the spans
+    ordered = [s for s in spans if s.start < s.end]
+    for key in (attrgetter("replacement"), attrgetter("start"), lambda s: s.start - s.end, lambda s: tables.PRIORITY[s.category]):
+        ordered.sort(key=key)
     starts: list[int] = []
     kept: list[Span] = []
-    for s in sorted(spans, key=lambda s: (tables.PRIORITY[s.category], s.start - s.end, s.start, s.replacement)):
+    for s in ordered:
         k = bisect_left(starts, s.start)
-        if s.start < s.end and (k == 0 or kept[k - 1].end <= s.start) and (k == len(kept) or s.end <= kept[k].start):
+        if (k == 0 or kept[k - 1].end <= s.start) and (k == len(kept) or s.end <= kept[k].start):
             starts.insert(k, s.start)
             kept.insert(k, s)
     return kept
