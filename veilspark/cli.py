@@ -68,7 +68,7 @@ def main(argv: list[str], store: Store | None = None, out=sys.stdout, err=sys.st
         args = compare.parse_args(argv[1:])
         spark = SparkSession.builder.getOrCreate()
         high, low = (sitemap.items(read_items(spark, p)) for p in (args.high, args.low))
-        rows = sitemap.compare(sitemap.endpoint_stats(high), sitemap.endpoint_stats(low))
+        rows = sitemap.compare(sitemap.endpoint_stats(high, most=None), sitemap.endpoint_stats(low, most=None))
         policy, bodies = _policy(args, store), None
         if args.include_bodies:
             bodies = sitemap.samples(high, args.labels[0], args.include_bodies, policy).unionByName(sitemap.samples(low, args.labels[1], args.include_bodies, policy))

@@ -404,7 +404,7 @@ def _items(spark: SparkSession, sf_dir: str, role: int | None = None) -> DataFra
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sitemap.compare(sitemap.endpoint_stats(_items(spark, sf_dir, 0), keys=False), sitemap.endpoint_stats(_items(spark, sf_dir, 1), keys=False))
+    return sitemap.compare(*(sitemap.endpoint_stats(_items(spark, sf_dir, side), keys=False, most=None) for side in (0, 1)))
 
 
 def _stem(s: str) -> str:
@@ -455,7 +455,7 @@ SQL["q_template_paths"] = f"select origin, path, array_to_string(query, '&') que
 @query
 def q_endpoint_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = sitemap.endpoint_stats(_items(spark, sf_dir), keys=False)
-    return s.select(sitemap.label().alias("label"), "origin", "requests", "min_size", "max_size", F.array_join(F.transform("statuses", lambda x: x.cast("string")), ", ").alias("statuses"), F.size("exact").alias("n_exact"), F.size("loose").alias("n_loose"))
+    return s.select(sitemap.label().alias("label"), "origin", "requests", "min_size", "max_size", F.array_join(F.transform("statuses", lambda x: x.cast("string")), ", ").alias("statuses"), F.col("n_exact").cast("int"), F.col("n_loose").cast("int"))
 
 
 SQL["q_endpoint_stats"] = f"select {_LABEL} as label, origin, requests, min_size, max_size, array_to_string(statuses, ', ') statuses, len(exact)::int n_exact, len(loose)::int n_loose from {_sql_stats()}"
